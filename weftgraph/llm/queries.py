@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ensure_importable
 from .chat import ROTATE_SQL, rotate_perspectives
+from .langid import language_id
 from .quality import quality_rules
 from .tokens import token_counts
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -30,6 +42,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_language_bitmask,
+        op5_toxicity_deobfuscated,
         op7_chat_perspectives,
         op8_quality_divergence,
         op10_token_counts,

@@ -80,7 +80,7 @@ class PieceTokenizer:
 
     def chunk(self, text: str) -> Encoded:
         starts, before, at, last = [], [], 0, "▁"
-        pieces = self.t.encode(text, out_type="immutable_proto").pieces
+        pieces = self.t.encode(text, return_type="proto").pieces
         for i, p in enumerate(pieces):
             if not i or p.piece.startswith("▁") and not last.endswith("▁"):
                 starts.append(at)
