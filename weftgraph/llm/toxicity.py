@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import drop_stored, slices, stored
 from .langid import in_fold, sampled
 
 #: What a sign may stand for.
@@ -49,7 +50,7 @@ class CharModel:
             if c.isalpha():
                 options = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, FOLD)] if n == 2 else [(c, FOLD), (c * 2, FOLD)]
             elif c in LEET:
-                options = [(x * m, SIGN * m) for x in LEET[c] for m in ([1] if n == 1 else [1, 2])] + [("", DROP + KEEP_RUN)]
+                options = [(x * m, SIGN * m) for x in LEET[c] for m in ([1] if n == 1 else [1, 2])] + ([] if c.isdigit() else [("", DROP + KEEP_RUN)])
             elif c in BREAKS:
                 options = [("", 0.0 if c != "*" else DROP)] + ([(x, KEEP_RUN) for x in self.letters] if c == "*" and n == 1 else [])
             else:
@@ -83,53 +84,89 @@ class Restorer:
                 self.cache[word] = got
         return got
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of ``text``: plain ones as they are, odd ones restored as well."""
+    def words(self, text: str) -> tuple[set[str], set[str]]:
+        """Distinct words of ``text``: those that are plain, and odd ones as restored."""
         low = text.lower()
         split = low.split()
         raw = set(split)
-        out = {w.strip(EDGE + "!") for w in raw}
+        plain = {w.strip(EDGE + "!") for w in raw}
+        restored = set()
         for w in raw:
             if w.isalpha():
                 continue
             core = w.strip(EDGE)
-            tail = core.rstrip("!")  # a call, or the letter i
-            for x in {core, tail}:
-                # one letter at least and a sign within: ends alone are punctuation
+            for x in {core, core.rstrip("!")}:  # a call, or the letter i
                 if 3 <= len(x) <= 40 and not x.isalpha() and sum(map(str.isalpha, x)) >= 2:
-                    out.add(self.decoded(x))
+                    restored.add(self.decoded(x))
         if TRIPLE.search(low):
-            out |= {self.decoded(w) for w in list(out) if 3 <= len(w) <= 60 and TRIPLE.search(w) and w.isalpha()}
-        if sum(len(w) == 1 for w in split) >= 3 or SPACED.search(low):
-            for m in SPACED.finditer(low):
-                if len(m[0]) <= 120:
-                    out.add(self.decoded(m[0]))
-        out.discard("")
-        return out
-
-
-#: Beginnings of words are features too (``achlich*``), for stems with many endings.
-STEMS = (5, 6, 7)
-
-
-def with_stems(words: set[str]) -> set[str]:
-    return words | {w[:k] + "*" for k in STEMS for w in words if len(w) >= k}
+            restored |= {self.decoded(w) for w in plain if 3 <= len(w) <= 60 and w.isalpha() and TRIPLE.search(w)}
+        if sum(len(w) == 1 for w in split) >= 3:
+            restored |= {self.decoded(m[0]) for m in SPACED.finditer(low) if len(m[0]) <= 120}
+        plain.discard("")
+        restored.discard("")
+        return plain, restored
+
+
+#: Beginnings of words are features too (``achlich*``), for stems with many endings. A stem is
+#: weighed against how many of the text's words begin with its first letters (``ROOT`` of them).
+STEMS, ROOT = (3, 4, 5, 6, 7), 2
+
+
+def features(words: set[str]) -> Counter:
+    """Distinct words, stems and roots, with the number of distinct words that have each."""
+    out = Counter(words)
+    for w in words:
+        if len(w) >= ROOT:
+            out[w[:ROOT] + "**"] += 1
+            for k in STEMS:
+                if len(w) > k:
+                    out[w[:k] + "*"] += 1
+    return out
+
+
+def squeezed(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
+def _tail(c: int, mean: float) -> float:
+    """-log P(at least c) of a Poisson variable, 40 at most."""
+    if c <= 0:
+        return 0.0
+    term = math.exp(-mean)
+    below = 0.0
+    for i in range(c):
+        below += term
+        term *= mean / (i + 1)
+    if below < 0.999:
+        return min(40.0, -math.log(1 - below))
+    total, i = 0.0, c
+    while i < c + 60:
+        total += term
+        i += 1
+        term *= mean / i
+    return min(40.0, -math.log(max(total, 1e-18)))
 
 
 class ToxicModel:
-    def __init__(self, chars: CharModel, weights: dict[str, float], slope: float, bias: float):
-        self.chars, self.weights, self.slope, self.bias = chars, weights, slope, bias
+    """``weights`` of whole words; ``stems``: chance that a word with the stem's root has the stem, in clean texts."""
 
-    def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.bias))))
+    def __init__(self, chars: CharModel, weights: dict[str, float], stems: dict[str, float], fit: tuple[float, float, float] = (1.0, 0.5, -3.0)):
+        self.chars, self.weights, self.stems, self.fit = chars, weights, stems, fit
+        self.short = {squeezed(w): w for w in sorted(weights)}
+        self.lengths = sorted({len(x) for x in stems})
 
+    def evidence(self, plain: set[str], restored: set[str]) -> tuple[float, float]:
+        hits = (plain & self.weights.keys()) | {self.short[x] for x in map(squeezed, restored) if x in self.short}
+        stems = Counter(w[:k] for k in self.lengths for w in plain | restored if len(w) > k and w[:k] in self.stems) if self.stems else {}
+        x = 0.0
+        if stems:
+            roots = Counter(w[:ROOT] for w in plain | restored)
+            x = _tail(sum(stems.values()), sum(q * roots.get(s[:ROOT], 0) for s, q in self.stems.items()))
+        return round(min(30.0, sum(self.weights[w] for w in sorted(hits))), 1), round(x, 1)
 
-def _evidence(words: set[str], weights: dict[str, float]) -> float:
-    """The weights of the features that ``words`` have."""
-    hits = words & weights.keys()
-    for k in STEMS:
-        hits |= {w[:k] + "*" for w in words if len(w) >= k} & weights.keys()
-    return sum(weights[w] for w in sorted(hits))
+    def score(self, evidence: tuple[float, float]) -> float:
+        z = self.fit[0] * evidence[0] + self.fit[1] * evidence[1] + self.fit[2]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, lexicon: int = 1000) -> ToxicModel:
@@ -167,47 +204,53 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, lexico
         r = Restorer(chars)
         for frame in batches:
             for text, toxic in zip(frame.text, frame.toxic):
-                w = sorted(with_stems(r.words(text)))
-                yield pd.DataFrame({"w": w, "t": [int(toxic)] * len(w), "c": [1 - int(toxic)] * len(w)}).astype({"w": str, "t": "int64", "c": "int64"})
+                f = features(set().union(*r.words(text)))
+                yield pd.DataFrame({"w": list(f), "n": list(f.values()), "t": int(toxic)}).astype({"w": str, "n": "int64", "t": "int64"})
 
-    words = rows.select("text", "toxic").mapInPandas(restored, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    seen = rows.select("text", "toxic").mapInPandas(restored, "w string, n long, t long").groupBy("w").agg(F.sum("t").alias("t"), F.sum(1 - F.col("t")).alias("c"), F.sum(F.when(F.col("t") == 0, F.col("n")).otherwise(0)).alias("clean"))
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     nt, nc = totals.get(1, 0), totals.get(0, 0)
     if not nt or not nc:
-        return ToxicModel(chars, {}, 1.0, -3.0)
+        return ToxicModel(chars, {}, {})
     n = F.col("t") + F.col("c")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g2 = 2 * (part(F.col("t"), n * nt / (nt + nc)) + part(F.col("c"), n * nc / (nt + nc)))
-    often = words.filter(n >= 3).withColumn("g2", F.round(g2, 9))
+    often = stored(seen.withColumn("g2", F.round(g2, 9)).filter((n >= 3) | F.col("w").endswith("**")))
     tested = often.count()
     # so many tests that one word passes by chance at most
-    best = (
-        often.filter((F.col("t") * nc > 4 * F.col("c") * nt) & (F.col("g2") > 2 * math.log(max(tested, 2)) + 2))
-        .orderBy(F.desc("g2"), "w")
-        .limit(lexicon)
-        .collect()
-    )
-    weights = {r["w"]: math.log((r["t"] + 0.5) / (nt + 1)) - math.log((r["c"] + 0.5) / (nc + 1)) for r in best}
+    good = often.filter((F.col("t") * nc > 4 * F.col("c") * nt) & (F.col("g2") > 2 * math.log(max(tested, 2)) + 2) & ~F.col("w").endswith("**"))
+    best = good.orderBy(F.desc("g2"), "w").limit(lexicon).collect()
+    words = {r["w"]: r for r in best if not r["w"].endswith("*")}
+    chosen: dict[str, int] = {}
+    for r in best:
+        stem = r["w"][:-1]
+        if r["w"].endswith("*") and not any(stem.startswith(x) or x.startswith(stem) for x in chosen):
+            if r["t"] > 1.5 * max([0, *(words[w]["t"] for w in words if w.startswith(stem))]):
+                chosen[stem] = r["clean"]
+    roots = {r["w"][:-2]: r["clean"] for r in often.filter(F.col("w").isin([x[:ROOT] + "**" for x in chosen])).collect()}
+    drop_stored(often)
+    stems = {x: (k + 0.5) / (roots.get(x[:ROOT], 0) + 1) for x, k in chosen.items()}
+    weights = {w: math.log((r["t"] + 0.5) / (nt + 1)) - math.log((r["c"] + 0.5) / (nc + 1)) for w, r in words.items() if not any(w.startswith(x) for x in stems)}
+    model = ToxicModel(chars, weights, stems)
 
     def measured(batches: Iterator) -> Iterator:
         import pandas as pd
 
         r = Restorer(chars)
         for frame in batches:
-            yield pd.DataFrame({"x": [round(_evidence(r.words(t), weights), 1) for t in frame.text], "toxic": frame.toxic.astype("int64")})
+            got = [model.evidence(*r.words(t)) for t in frame.text]
+            yield pd.DataFrame({"x": [g[0] for g in got], "y": [g[1] for g in got], "toxic": frame.toxic.astype("int64")})
 
-    points = rows.select("text", "toxic").mapInPandas(measured, "x double, toxic long").groupBy("x").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("x").collect()
-    x, t, m = (np.asarray([r[k] for r in points], float) for k in ("x", "t", "n"))
-    slope, bias = 0.5, -2.0
+    points = rows.select("text", "toxic").mapInPandas(measured, "x double, y double, toxic long").groupBy("x", "y").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("x", "y").collect()
+    x = np.asarray([[r["x"], r["y"], 1.0] for r in points])
+    t, m = (np.asarray([r[k] for r in points], float) for k in ("t", "n"))
+    ridge, fit = np.diag([0.05, 0.05, 0.01]), np.asarray(model.fit)
     for _ in range(60):  # Newton steps of a ridged logistic fit
-        p = 1 / (1 + np.exp(-np.clip(slope * x + bias, -30, 30)))
-        v = m * p * (1 - p)
-        g = np.array([(x * (t - m * p)).sum() - 0.05 * slope, (t - m * p).sum() - 0.05 * bias])
-        h = np.array([[(v * x * x).sum() + 0.05, (v * x).sum()], [(v * x).sum(), v.sum() + 0.05]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(abs(step).max(), 1e-9))
-        slope, bias = slope + step[0], bias + step[1]
-    return ToxicModel(chars, weights, float(slope), float(bias))
+        p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+        step = np.linalg.solve((x * (m * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (t - m * p) - ridge @ fit)
+        fit = fit + step * min(1.0, 2.0 / max(abs(step).max(), 1e-9))
+    model.fit = tuple(float(round(v, 9)) for v in fit)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.7, **options) -> DataFrame:
@@ -228,7 +271,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.7, **options)
         for batch in batches:
             scores = []
             for a, b in slices(np.full(batch.num_rows, 1 << 12), 1 << 20):
-                scores += [round(model.score(_evidence(r.words(x or ""), model.weights)), 6) for x in batch.column(1).slice(a, b - a).to_pylist()]
+                scores += [round(model.score(model.evidence(*r.words(x or ""))), 6) for x in batch.column(1).slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(x >= limit) for x in scores], pa.int32())})
 
     return docs.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
