@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import ensure_importable
 from .chat import ROTATE_SQL, rotate_perspectives
 from .langid import language_id
+from .minhash import near_duplicates
 from .quality import quality_rules
 from .tokens import token_counts
 from .toxicity import toxicity
@@ -27,6 +28,10 @@ def op5_toxicity_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_minmax_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op3_language_bitmask,
         op5_toxicity_deobfuscated,
+        op6_minmax_near_dups,
         op7_chat_perspectives,
         op8_quality_divergence,
         op10_token_counts,
