@@ -82,12 +82,13 @@ def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(df: DataFrame, each: int) -> int:
-    """Partitions that hold about ``each`` bytes of ``df``; follows the input at any size."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each))
+    """Partitions that hold about ``each`` bytes of ``df``; follows the input at any size (but for sources without statistics)."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return least if size >= 1 << 60 else max(least, -(-size // each))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ from .chat import ROTATE_SQL, rotate_perspectives
 from .langid import language_id
 from .minhash import near_duplicates
 from .quality import quality_rules
+from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
 
@@ -24,6 +25,10 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_language_bitmask,
+        op4_suffix_dedup,
         op5_toxicity_deobfuscated,
         op6_minmax_near_dups,
         op7_chat_perspectives,
