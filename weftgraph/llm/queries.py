@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ensure_importable
 from .chat import ROTATE_SQL, rotate_perspectives
+from .decontam import leaks
 from .langid import language_id
 from .minhash import near_duplicates
 from .quality import quality_rules
@@ -45,6 +46,10 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_minmax_near_dups,
         op7_chat_perspectives,
         op8_quality_divergence,
+        op9_latent_decontamination,
         op10_token_counts,
     )
 }
