@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import ensure_importable
 from .chat import ROTATE_SQL, rotate_perspectives
 from .decontam import leaks
+from .html import main_text
 from .langid import language_id
 from .minhash import near_duplicates
+from .mixing import mixing_rates
 from .quality import quality_rules
 from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
@@ -22,6 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +67,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_mixing_rates,
+        op2_consensus_html,
         op3_language_bitmask,
         op4_suffix_dedup,
         op5_toxicity_deobfuscated,
