@@ -20,6 +20,8 @@ from .common import let, stored
 #: Domains by the labels (quality, toxic), and the target share of tokens of each.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+#: Information (nats, over the sample) under which a term may be there by chance.
+LEAST = 15.0
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -47,7 +49,7 @@ def _terms(text: Column) -> Column:
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, sample: int, vocabulary: int) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """Log priors of the domains, and of each vocabulary term how much likelier (log) each domain has it than all do.
+    """Each domain's log probability of a document without a vocabulary term, and what each term adds to it.
 
     Fitted on about ``sample`` labelled rows (their ids are sent to the scan, so no text is shuffled).
     """
@@ -63,9 +65,10 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int, vocabulary: in
     every = (sum((F.col(d) for d in DOMAINS), F.lit(0)) + 0.5) / (total + 1.0)
     # the information that the term's presence gives about the domain
     weight = sum((F.col(d) * F.log(c / every) for d, c in zip(DOMAINS, chance)), F.lit(0.0))
-    top = counts.filter(sum((F.col(d) for d in DOMAINS), F.lit(0)) >= 3).orderBy(F.desc(F.round(weight, 6)), "term").limit(vocabulary).collect()
-    ratio = lambda r, d: math.log((r[d] + 0.5) / (sizes.get(d, 0) + 1.0)) - math.log((sum(r[x] for x in DOMAINS) + 0.5) / (total + 1.0))
-    return {d: math.log(priors[d]) for d in DOMAINS}, {r["term"]: {d: ratio(r, d) for d in DOMAINS} for r in top}
+    top = counts.filter((sum((F.col(d) for d in DOMAINS), F.lit(0)) >= 3) & (weight > LEAST)).orderBy(F.desc(F.round(weight, 6)), "term").limit(vocabulary).collect()
+    has = lambda r, d: (r[d] + 0.5) / (sizes.get(d, 0) + 1.0)
+    base = {d: math.log(priors[d]) + sum(math.log(1 - has(r, d)) for r in top) for d in DOMAINS}
+    return base, {r["term"]: {d: math.log(has(r, d)) - math.log(1 - has(r, d)) for d in DOMAINS} for r in top}
 
 
 def posteriors(docs: DataFrame, base: dict[str, float], weights: dict[str, dict[str, float]]) -> DataFrame:

@@ -144,8 +144,10 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """Every row of ``docs`` (all columns, as struct ``row``) with n_bytes, n_removed, n_spans and ``kept``, the remaining bytes.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes, of every row of ``docs`` (doc_id, text).
+
+    With ``carry`` each row also has these columns of its, as struct ``row``.
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a row with a
     smaller doc_id, or earlier in its own. Null text counts as empty. Null doc_id counts as the smallest.
@@ -153,9 +155,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     are documents in the order of a text hash. Texts under ``length`` bytes lose nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    row = F.struct(*carry) if carry else F.lit(0)
     twice = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
     sub = F.xxhash64(F.coalesce("text", F.lit(""))) if twice else F.lit(0).cast("long")
-    own = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), sub.alias("sub"), "text")
+    own = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), sub.alias("sub"), "text", row.alias("row"))
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -177,7 +180,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                     }
                 )
 
-    found = own.mapInArrow(find, "lead long, whole long, id long, sub long, at int, size int")
+    found = own.select("id", "sub", "text").mapInArrow(find, "lead long, whole long, id long, sub long, at int, size int")
     shared = found.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1").select("lead")
     again = stored(found.join(shared, "lead", "left_semi"))
     _release(spark)
@@ -219,7 +222,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                     }
                 )
 
-    opened = texts.join(unsure, ["id", "sub"]).select("id", "sub", "text", "r").mapInArrow(windows, "f1 long, f2 long, id long, sub long, at int")
+    opened = texts.join(unsure, ["id", "sub"]).select("id", "sub", "text", "r", "row").mapInArrow(windows, "f1 long, f2 long, id long, sub long, at int")
     earliest = opened.groupBy("f1", "f2").agg(F.min(place).alias("p")).select("p.id", "p.sub", "p.at")
 
     kind = lambda frame, k, size: frame.select("id", "sub", F.struct("at", size.cast("int").alias("size"), F.lit(k).alias("kind")).alias("x"))
@@ -247,10 +250,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 kept = b"".join([*kept, blob[last:]])
                 for k, v in zip(out, (len(blob), len(blob) - len(kept), len(spans), kept)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "sub": batch.column(1), **{k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()}})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "row": batch.column(1), **{k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()}})
 
-    done = texts.join(marks, ["id", "sub"], "left").select("id", "sub", "text", "marks").mapInArrow(cut, "id long, sub long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "sub", "n_bytes", "n_removed", "n_spans", "kept")
+    done = texts.join(marks, ["id", "sub"], "left").select("id", "row", "text", "marks").mapInArrow(
+        cut, f"id long, row {own.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    )
+    out = done.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "row")
+    return out if carry else out.drop("row")
 
 
 def repeated_spans(n: int, marks, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -282,6 +288,21 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text`` (and ``n_chars``, where there is one, told anew).
+
+    A character whose bytes go in part goes as a whole. Rows of which nothing but white space is left
+    after a cut are dropped; rows that lose nothing stay as they are. All columns stay, in their order.
+    """
+    carry = [c for c in docs.columns]
+    out = remove_repeats(docs, length, carry=carry)
+    # what is left of a cut character are continuation bytes or a lead without them
+    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    cut = out.withColumn("cut", F.when(F.col("n_removed") > 0, text)).filter(F.col("cut").isNull() | F.col("cut").rlike(r"\S"))
+    new = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut")).cast("long")} if "n_chars" in carry else {"text": F.coalesce("cut", "row.text")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in carry])
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (see ``remove_repeats``)."""
     out = remove_repeats(docs.select("doc_id", "text"), length)
