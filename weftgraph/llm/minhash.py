@@ -9,7 +9,7 @@
 4. Classes that share a bucket with another component are contested. They are compared
    by prefixes: in the order of rarity, sets of which ``percent`` % is shared meet in the
    first (100 - percent) %. Classes whose own shingles nobody shares fill that prefix
-   drop out. Only pairs of different components are compared, and these on full sets,
+   drop out. The rest is compared with the cleanest class it meets, then only pairs of different components are compared, and these on full sets,
    so the components are those of all links between candidates.
 """
 
@@ -121,13 +121,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross(pairs_of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components (key, doc, n, comp) that share a key: members outside
-    the key's first component against all; members of one component never meet."""
+    """Pairs of different components (key, doc, n, comp, r) that share a key: members outside
+    the key's first component against all; members of one component never meet. A pair whose sets
+    can't reach the overlap with what stands from its places r on has an earlier key, or is none."""
     mixed = pairs_of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").drop("hi")
     rows = pairs_of.join(mixed, "key")
-    x = rows.filter("comp <> lo").select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    x = rows.filter("comp <> lo").select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("r").alias("ra"))
+    y = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("r").alias("rb"))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    rest = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    near &= rest * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     return x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -168,12 +171,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, per
     counts = items.groupBy("key").agg(F.count("*").alias("df"), F.min("doc").alias("doc"))
     own = counts.filter("df = 1").groupBy("doc").agg(F.count("*").alias("own"))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1  # length of the prefix
-    left = stored(open_.join(own, open_.rep == own.doc, "left").filter(F.coalesce("own", F.lit(0)) < allowed).select("rep", "n", "comp"))
-    items = left.join(sets, left.rep == sets.doc_id).select(F.col("rep").alias("doc"), "n", "comp", F.explode("sh").alias("key"))
+    left = open_.join(own, open_.rep == own.doc, "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(F.col("own") < allowed)
+    left = stored(left.select("rep", "n", "comp", "own"))
+    items = left.join(sets, left.rep == sets.doc_id).select(F.col("rep").alias("doc"), "n", "comp", "own", F.explode("sh").alias("key"))
     counts = items.groupBy("key").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("doc").orderBy("df", "key"))
-    prefix = items.join(counts, "key").withColumn("r", order).filter(F.col("r") <= allowed).filter("df > 1").select("key", "doc", "n", "comp")
-    more = stored(_confirmed(_cross(stored(prefix), percent), sets, percent))
+    prefix = stored(items.join(counts, "key").withColumn("r", order).filter(F.col("r") <= allowed).filter("df > 1").select("key", "doc", "n", "comp", "own", "r"))
+    # first with the class of the key that has fewest shingles of its own: the nearest to a common source
+    clean = prefix.groupBy("key").agg(F.min(F.struct("own", "doc", "comp")).alias("h"))
+    near = prefix.join(clean, "key").filter(F.col("h.comp") != F.col("comp")).groupBy("doc").agg(F.min("h").alias("h"))
+    stars = stored(_confirmed(near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b")), sets, percent))
+    links = links.unionByName(stars)
+    second = components(links)
+    placed = prefix.join(second, prefix.doc == second.node, "left").select("key", "doc", "n", "r", F.coalesce("component", "doc").alias("comp"))
+    more = stored(_confirmed(_cross(placed, percent), sets, percent))
     final = components(links.unionByName(more))
 
     known = member.join(final, member.rep == final.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
