@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _done: set[str] = set()
 
@@ -24,3 +26,37 @@ def ensure_importable(spark: SparkSession) -> None:
     else:
         folder = tempfile.mkdtemp(prefix="weft-")
         sc.addPyFile(shutil.make_archive(f"{folder}/weftgraph", "zip", root, "weftgraph"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``), a temporary one where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            delete_path(spark, path)
+        except Exception:  # the session may be gone; the folder is scratch space
+            return
