@@ -204,7 +204,7 @@ def _json(s: Typed) -> Column:
     return F.when(text.isNull() | F.try_parse_json(text).isNotNull(), text).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), text)))
 
 
-function("json_extract", 2)(lambda s, p: Typed(F.get_json_object(_json(s), _path(p)), STRING))
+function("json_extract", 2)(lambda s, p: Typed(F.call_function("get_json_object", _json(s), _path(p)), STRING))
 function("json_valid", 1)(lambda s: Typed(F.when(_text(s).isNotNull(), (F.try_parse_json(_text(s)).isNotNull()) & (F.trim(_text(s)) != "")), BOOL))
 
 
@@ -251,11 +251,11 @@ def _json_set(s, p, v):
     """No Spark function changes a JSON text, so this one is an Arrow-batched Python function."""
     import pandas as pd
 
-    @F.pandas_udf(STRING)
-    def put(doc: pd.Series, path: pd.Series, value: pd.Series) -> pd.Series:
+    def put(doc, path, value):
         return pd.Series([_set_in(*x) for x in zip(doc, path, value)], dtype=object)
 
-    return Typed(put(_text(s), _text(p), _text(v)), STRING)
+    put.__annotations__ = {"doc": pd.Series, "path": pd.Series, "value": pd.Series, "return": pd.Series}
+    return Typed(F.pandas_udf(put, STRING)(_text(s), _text(p), _text(v)), STRING)
 
 
 def scalar_names() -> list[str]:

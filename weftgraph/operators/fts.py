@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +17,21 @@ def terms(text):
     return F.filter(words, lambda w: (w != "") & (F.octet_length(w) <= MAX_TERM))
 
 
+def _is(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
     """doc_id, score, snippet of the best documents (doc_id, content).
 
     One pass counts documents, lengths and the query's terms; no row per word is
     shuffled: only documents that hold a term leave their task, as their few term counts.
     """
-    import re
-
     wanted = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w and len(w.encode()) <= MAX_TERM})
     if not wanted:
         return docs.sparkSession.createDataFrame([], "doc_id long, score double, snippet string")
     t = docs.select("doc_id", "content", terms(F.col("content")).alias("_t"))
-    counted = t.select("doc_id", "content", F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda x, w=w: x == w)).alias(f"_f{i}") for i, w in enumerate(wanted)])
+    counted = t.select("doc_id", "content", F.size("_t").alias("_n"), *[F.size(F.filter("_t", _is(w))).alias(f"_f{i}") for i, w in enumerate(wanted)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("avg"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"d{i}") for i in range(len(wanted))]).first()
     score = F.lit(0.0)
     for i in range(len(wanted)):

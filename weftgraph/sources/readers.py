@@ -34,12 +34,15 @@ def _boolean(text: Column) -> Column:
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType, options: dict) -> DataFrame:
-    """Comma-separated with a header line; an empty field is NULL; a field that doesn't fit its type is an error."""
-    asked = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType) for f in schema.fields])
+    """Comma-separated with a header line; an empty field and columns missing at the end are NULL; a field that doesn't fit its type is an error."""
+    header, sep = bool(options.get("header", True)), str(options.get("delim", options.get("sep", ",")))
+    have = len(spark.read.csv(path, header=header, sep=sep).columns)
+    asked = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BooleanType) else f.dataType) for f in schema.fields[:have]])
     df = spark.read.csv(
-        path, schema=asked, header=bool(options.get("header", True)), sep=str(options.get("delim", options.get("sep", ","))), nullValue="", emptyValue="", mode="FAILFAST", enforceSchema=True, quote='"', escape='"'
+        path, schema=asked, header=header, sep=sep, nullValue="", emptyValue="", mode="FAILFAST", enforceSchema=True, quote='"', escape='"'
     )
-    return df.select(*[_boolean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.BooleanType) else F.col(f.name) for f in schema.fields])
+    value = lambda i, f: F.lit(None).cast(f.dataType) if i >= have else _boolean(F.col(f.name)) if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
+    return df.select(*[value(i, f).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def arrow_ipc(spark: SparkSession, path: str) -> DataFrame:
