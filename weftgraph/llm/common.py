@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: follows the slice and not the Arrow batch.
 SLICE_BYTES = 4 << 20
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -41,7 +43,12 @@ def stored(df: DataFrame) -> DataFrame:
     losing an executor loses nothing. The table is deleted when Python exits, or by ``drop_stored``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the job's shuffle files go with it, and not when the driver next collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
