@@ -8,7 +8,8 @@ equal windows have equal anchors, and the windows of a text fall into runs of ab
 1. Runs whose anchor is alone in the corpus hold no repeated window. The others stay.
 2. Equal runs (same bytes) form a class. All windows of its members but the first are repeats.
 3. Where an anchor has several classes, runs end at different places (at the edges of
-   a copied passage). The windows of these classes' first runs are sorted as suffixes by
+   a copied passage). Each window reaches far to the right of its anchor, or to the left; where another class has
+   the same bytes on that side, the windows of the class's first run are looked at. They are sorted as suffixes by
    mergesort. Two suffixes are compared by their longest common extension, which binary
    search over prefix polynomial hashes finds in a logarithmic number of steps; then one byte decides.
    Neighbours that agree over the window's length are verified byte by byte. Each task sorts its own
@@ -18,7 +19,6 @@ equal windows have equal anchors, and the windows of a text fall into runs of ab
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,11 +111,18 @@ def distinct_windows(h: Hashes, starts: np.ndarray, limit: int = LENGTH, block:
     return np.sort(np.concatenate(first))
 
 
+def side(length: int, anchor: int) -> int:
+    """How far the bytes on one side of an anchor reach: every window has so many before its anchor, or after it."""
+    return (length - anchor) // 2
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: text, first start (in ``data``), bytes, anchor hash, hash of the bytes."""
-    none = np.empty(0, np.int64)
+    """Runs of windows with one anchor: text, first start (in ``data``), bytes, anchor hash, hash of the bytes, the
+    anchor's place in the run, hashes of the bytes to its right and left (0 where no window has them)."""
+    none, far = np.empty(0, np.int64), side(length, anchor)
+    nothing = (none, none, none, none.view(np.uint64), none.view(np.uint64), none, none.view(np.uint64), none.view(np.uint64))
     if len(data) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     h = Hashes(data)
     n = len(data) - anchor + 1
     gram = mix64((h.prefix[anchor:] - h.prefix[:n]) * h.down[:n])
@@ -132,11 +139,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     inside = starts + length <= offsets[1:][text[: len(lead)]] - 1  # texts end by one byte that isn't theirs
     starts, lead = starts[inside], lead[inside]
     if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     new = np.flatnonzero(np.concatenate([[True], (np.diff(lead) != 0) | (np.diff(starts) != 1)]))
     first = starts[new]
     size = np.diff(np.concatenate([new, [len(starts)]])) + length - 1
-    return text[first], first, size, gram[lead[new]], mix64(h.of(first, size) + size.astype(np.uint64))
+    at, wide = lead[new], anchor + far
+    to_right, to_left = at - (first + size - length) <= far, at - first > far
+    right = np.where(to_right, mix64(h.of(np.where(to_right, at, 0), wide)), np.uint64(0))
+    left = np.where(to_left, mix64(h.of(np.where(to_left, at - far, 0), wide)), np.uint64(0))
+    return text[first], first, size, gram[at], mix64(h.of(first, size) + size.astype(np.uint64)), at - first, right, left
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +165,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Rows that agree in doc_id and text are one document; rows that repeat a doc_id with other texts
     are documents in the order of a text hash. Texts under ``length`` bytes lose nothing. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     row = F.struct(*carry) if carry else F.lit(0)
     twice = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
-    # no literal: Spark would take a constant out of the keys, and then the exchange would not serve both joins
+    # no literal: Spark would take a constant out of the keys, and then the exchange would not serve the join
     sub = F.xxhash64(F.coalesce("text", F.lit(""))) if twice else F.xxhash64("doc_id").bitwiseAND(F.lit(0))
     own = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), sub.alias("sub"), "text", row.alias("row"))
 
@@ -169,7 +179,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             ids, subs = (batch.column(i).to_numpy() for i in (0, 1))
             for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 2 << 20):
                 data, offsets = _joined(texts[a:b])
-                of, first, size, lead, whole = runs(data, offsets, length, anchor)
+                of, first, size, lead, whole, off, right, left = runs(data, offsets, length, anchor)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "lead": pa.array(lead.view(np.int64)),
@@ -178,19 +188,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                         "sub": pa.array(subs[a:b][of]),
                         "at": pa.array((first - offsets[of]).astype(np.int32)),
                         "size": pa.array(size.astype(np.int32)),
+                        "off": pa.array(off.astype(np.int32)),
+                        "right": pa.array(right.view(np.int64)),
+                        "left": pa.array(left.view(np.int64)),
                     }
                 )
 
-    found = own.select("id", "sub", "text").mapInArrow(find, "lead long, whole long, id long, sub long, at int, size int")
+    found = own.select("id", "sub", "text").mapInArrow(find, "lead long, whole long, id long, sub long, at int, size int, off int, right long, left long")
     shared = found.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1").select("lead")
     again = stored(found.join(shared, "lead", "left_semi"))
-    _release(spark)
     place = F.struct("id", "sub", "at")
-    classes = stored(again.groupBy("lead", "whole").agg(F.min(place).alias("p"), F.first("size").alias("size")))
-    several = classes.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1").select("lead")
-    open_ = classes.join(several, "lead", "left_semi").select("p.id", "p.sub", "p.at", "size")
+    classes = stored(again.groupBy("lead", "whole").agg(F.min(place).alias("p"), *[F.first(c).alias(c) for c in ("size", "off", "right", "left")]))
+    far, count = side(length, anchor), F.col("size") - length + 1
+    skipped = F.greatest(F.col("off") - far, F.lit(0))  # windows that reach to the left
+    sides = (
+        classes.select("lead", F.lit(0).alias("side"), F.col("right").alias("h"), "p", (F.col("p.at") + skipped).alias("at"), (count - skipped).alias("n"))
+        .unionByName(classes.select("lead", F.lit(1).alias("side"), F.col("left").alias("h"), "p", F.col("p.at").alias("at"), F.least(count, skipped).alias("n")))
+        .filter("h <> 0 AND n > 0")
+    )
+    met = sides.groupBy("lead", "side", "h").agg(F.count("*").alias("m")).filter("m > 1").select("lead", "side", "h")
+    open_ = stored(sides.join(met, ["lead", "side", "h"], "left_semi").select("p.id", "p.sub", "at", (F.col("n") + length - 1).alias("size")))
 
-    texts = own.repartition(parts(docs.select("doc_id", "text"), 16 << 20), "id", "sub")  # one exchange, used twice
+    texts = own.repartition(parts(docs.select("doc_id", "text"), 16 << 20), "id", "sub")
     unsure = open_.groupBy("id", "sub").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("r"))
 
     def windows(batches: Iterator) -> Iterator:
@@ -224,13 +243,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 )
 
     opened = texts.join(unsure, ["id", "sub"]).select("id", "sub", "text", "r", "row").mapInArrow(windows, "f1 long, f2 long, id long, sub long, at int")
-    earliest = opened.groupBy("f1", "f2").agg(F.min(place).alias("p")).select("p.id", "p.sub", "p.at")
+    earliest = stored(opened.groupBy("f1", "f2").agg(F.min(place).alias("p")).select("p.id", "p.sub", "p.at"))
 
     kind = lambda frame, k, size: frame.select("id", "sub", F.struct("at", size.cast("int").alias("size"), F.lit(k).alias("kind")).alias("x"))
     marks = (
         kind(again, 0, F.col("size"))
         .unionByName(kind(classes.select("p.id", "p.sub", "p.at"), 1, F.lit(0)))
-        .unionByName(kind(open_, 2, F.lit(0)))
+        .unionByName(kind(open_, 2, F.col("size")))
         .unionByName(kind(earliest, 3, F.lit(0)))
         .groupBy("id", "sub")
         .agg(F.collect_list("x").alias("marks"))
@@ -263,17 +282,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 def repeated_spans(n: int, marks, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal covered byte spans of a text of n bytes from its marks (Arrow structs at, size, kind).
 
-    Kinds: 0 a run with a shared anchor, 1 the first of its class, 2 such a first whose
-    windows were looked at one by one, 3 a window that is the first of its kind.
+    Kinds: 0 a run with a shared anchor, 1 the first of its class, 2 windows of such a first
+    that were looked at one by one, 3 a window that is the first of its kind.
     """
     at, size, kind = (marks.field(i).to_numpy().astype(np.int64) for i in range(3))
-    first, opened, early = (np.isin(at[kind == 0], at[kind == k]) for k in (1, 2, 3))
-    run_at, run_size = at[kind == 0], size[kind == 0]
-    del early
+    use = (kind == 2) | (kind == 0) & ~np.isin(at, at[kind == 1])
     edge = np.zeros(n + 2, np.int32)
-    use = ~first | opened
-    np.add.at(edge, run_at[use], 1)
-    np.add.at(edge, run_at[use] + run_size[use] - length + 1, -1)
+    np.add.at(edge, at[use], 1)
+    np.add.at(edge, at[use] + size[use] - length + 1, -1)
     window = np.cumsum(edge) > 0
     window[at[kind == 3]] = False
     s = np.flatnonzero(window)
@@ -283,12 +299,6 @@ def repeated_spans(n: int, marks, length: int = LENGTH) -> list[tuple[int, int]]
     return [(int(a), int(b) + length) for a, b in zip(s[np.concatenate([[0], breaks + 1])], s[np.concatenate([breaks, [len(s) - 1]])])]
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` (and ``n_chars``, where there is one, told anew).
 
