@@ -382,8 +382,8 @@ class QueryCompiler:
                 else:
                     out.append((alias, compile_(e)))
             order_cols = [(compile_(e), up) for e, up in order]
-        cols, scope = [], Scope()
-        for i, (alias, x) in enumerate(out):
+        cols, scope, named = [], Scope(), []
+        for alias, x in out:
             if x is None:
                 b = bindings[alias]
                 cols += [c for c, _ in b.props.values()] + ([b.key] if b.key and b.key not in [c for c, _ in b.props.values()] else [])
@@ -392,6 +392,7 @@ class QueryCompiler:
                 name = self.fresh("w")
                 df = df.withColumn(name, x.col)
                 cols.append(name)
+                named.append(column(name).alias(alias))
                 scope[alias] = Binding("value", x.type, name)
         cols = list(dict.fromkeys(cols))
         keys = []
@@ -411,11 +412,6 @@ class QueryCompiler:
         state = State(df, scope)
         if not final:
             return self.filtered(state, body.where)
-        taken: dict[str, int] = {}
-        named = []
-        for alias, b in scope.items():
-            named.append(column(b.col).alias(alias))
-            taken[alias] = 1
         return State(df.select(*named), scope)
 
     def number(self, e: tuple) -> int:
