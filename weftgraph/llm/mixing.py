@@ -22,7 +22,6 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 #: Information (nats, over the sample) under which a term may be there by chance.
 LEAST = 15.0
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -31,21 +30,26 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def _terms(text: Column) -> Column:
-    """Distinct terms of a text: lower-cased words without the marks at their ends, and three signs of its form."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
-    bare = F.array_distinct(F.transform(words, lambda w: F.rtrim(w, F.lit(".,;:!?"))))
+def _words(text: Column) -> Column:
+    """Lower-cased words without the marks at their ends; marks that stand alone are none."""
+    return F.array_remove(F.split(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[.,;:!?]*[\x20\x09-\x0D]+"), "")
 
-    def form(w: Column) -> Column:
-        n = F.size(w)
+
+def _terms(w: Column, text: Column) -> Column:
+    """Distinct terms of a text with words ``w``: its words, and three signs of its form."""
+    n = F.greatest(F.size(w), F.lit(1))
+    text = F.coalesce(text, F.lit(""))
+    marks = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
+
+    def form(bare: Column) -> Column:
         signs = F.array(
-            F.concat(F.lit("\x01size"), F.least(F.lit(6), F.floor(F.log10(F.greatest(n, F.lit(1)).cast("double")) * 2)).cast("string")),
-            F.concat(F.lit("\x01marks"), F.least(F.lit(5), F.floor(100 * F.size(F.filter(w, lambda x: x.rlike(r"[#*$%&|<>]"))) / F.greatest(n, F.lit(1)) / 10)).cast("string")),
-            F.concat(F.lit("\x01kinds"), F.floor(10 * F.size(bare) / F.greatest(n, F.lit(1))).cast("string")),
+            F.concat(F.lit("\x01size"), F.least(F.lit(6), F.floor(F.log10(n.cast("double")) * 2)).cast("string")),
+            F.concat(F.lit("\x01marks"), F.least(F.lit(5), F.floor(marks * 4 / n)).cast("string")),
+            F.concat(F.lit("\x01kinds"), F.floor(10 * F.size(bare) / n).cast("string")),
         )
-        return F.concat(F.array_remove(bare, ""), signs)
+        return F.concat(bare, signs)
 
-    return let(words, form)
+    return let(F.array_distinct(w), form)
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, sample: int, vocabulary: int) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
@@ -60,7 +64,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int, vocabulary: in
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     priors = {d: (sizes.get(d, 0) + 1.0) / (total + len(DOMAINS)) for d in DOMAINS}
-    counts = rows.select("domain", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(d) for d in DOMAINS])
+    counts = rows.select("domain", F.explode(let(_words(F.col("text")), lambda w: _terms(w, F.col("text")))).alias("term")).groupBy("term").agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(d) for d in DOMAINS])
     chance = [(F.col(d) + 0.5) / (sizes.get(d, 0) + 1.0) for d in DOMAINS]
     every = (sum((F.col(d) for d in DOMAINS), F.lit(0)) + 0.5) / (total + 1.0)
     # the information that the term's presence gives about the domain
@@ -89,9 +93,11 @@ def posteriors(docs: DataFrame, base: dict[str, float], weights: dict[str, dict[
         e = F.transform(s, lambda x: F.exp(F.greatest(x - top, F.lit(-40.0))))
         return let(e, lambda v: F.transform(v, lambda x: F.round(x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 9)))
 
-    n_tokens = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
-    hits = F.array_intersect(_terms(F.col("text")), vocabulary)
-    return docs.withColumn("__n", n_tokens).withColumn("__post", let(let(hits, scores), normal))
+    def both(w: Column) -> Column:
+        hits = F.array_intersect(_terms(w, F.col("text")), vocabulary)
+        return F.struct(F.size(w).cast("long").alias("n"), let(let(hits, scores), normal).alias("post"))
+
+    return docs.withColumn("__m", let(_words(F.col("text")), both)).withColumns({"__n": F.col("__m.n"), "__post": F.col("__m.post")}).drop("__m")
 
 
 def solve(table: DataFrame, targets: dict[str, float], steps: int = 25, tolerance: float = 1e-6) -> list[list[float]]:
@@ -128,18 +134,19 @@ def rates(post: Column, taken: list[list[float]]) -> Column:
     return r
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = 10_000, vocabulary: int = 200, steps: int = 25) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = 10_000, vocabulary: int = 200, steps: int = 25, with_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, any others) with domain, p_good, p_poor, p_toxic, n_tokens and rate.
 
     ``rate`` is how often a document is to be read in an epoch. Null and empty texts have
     no tokens: they get posteriors from the prior, and the rate that these give. Without labels all domains are
     equal and rates are 1 where the targets can't be met. Repeated rows are documents of their own; an empty table gives no rows.
-    Columns of ``docs`` with one of the new names are replaced.
+    Columns of ``docs`` with one of the new names are replaced. ``with_text`` false leaves the texts out.
     """
     base, weights = classifier(docs.select("doc_id", "text"), domain_labels(labels), sample, vocabulary)
     marked = posteriors(docs, base, weights)
-    table = stored(marked.select(F.col("__n").alias("n_tokens"), F.col("__post").alias("post")).filter("n_tokens > 0"))
-    taken = solve(table, targets, steps)
+    # written once; the steps read two narrow columns of it
+    marked = stored(marked if with_text else marked.drop("text"))
+    taken = solve(marked.select(F.col("__n").alias("n_tokens"), F.col("__post").alias("post")).filter("n_tokens > 0"), targets, steps)
     named = {f"p_{d}": F.round(F.col("__post")[i], 6) for i, d in enumerate(DOMAINS)}
     best = F.array_position(F.col("__post"), F.array_max("__post"))
     domain = F.element_at(F.lit(list(DOMAINS)), best.cast("int"))
@@ -148,5 +155,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    out = mixed(docs.select("doc_id", "text"), labels, **options)
+    out = mixed(docs.select("doc_id", "text"), labels, with_text=False, **options)
     return out.select("doc_id", "n_tokens", "domain", *[f"p_{d}" for d in DOMAINS], "rate")
