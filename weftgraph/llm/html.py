@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
@@ -37,6 +39,10 @@ GOOD_NAMES = re.compile(r"article|content|main|post|entry|story|body|text", re.I
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+#: Hosts whose paths are sent to every task: some 100 bytes each.
+MAX_HOSTS = 50_000
+
+
 class Node:
     __slots__ = ("tag", "apart", "path", "score", "good", "parent", "link")
 
@@ -222,5 +228,9 @@ def main_text(pages: DataFrame) -> DataFrame:
                 {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(got, pa.string()), "n_chars": pa.array([len(x) for x in got], pa.int64())}
             )
 
-    rows = pages.withColumn("host", host_of(F.col("url"))).join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path")
+    # few hosts go to every task; more are joined, which shuffles the pages
+    paths = stored(host_paths(pages))
+    if paths.count() <= MAX_HOSTS:
+        paths = F.broadcast(paths)
+    rows = pages.withColumn("host", host_of(F.col("url"))).join(paths, "host", "left").select("page_id", "url", "html", "path")
     return rows.mapInArrow(take, "page_id long, url string, text string, n_chars long")
