@@ -37,3 +37,32 @@ def test_same_rows(spark, con, name):
 def test_every_query_has_a_name_and_most_have_sql():
     assert set(workload.oracle_sql()) <= set(workload.queries()) and len(workload.oracle_sql()) > 130
     assert set(workload.HEADLINE) <= set(workload.queries())
+
+
+WHOLE = ("varlen_1_2_all", "varlen_1_3_all", "varlen_min2_all", "varlen_left_all", "varlen_both_all", "varlen_fixed_all", "shortest_path_pairs_all", "delta_merge_all", "dml_merge_rel_all")
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_graph(spark, con, name):
+    test_same_rows(spark, con, name)
+
+
+def knows_of(spark):
+    return {(r["a"], r["b"]) for r in workload.knows(spark, DATA).collect()}
+
+
+def depths(edges, source):
+    out, level = {source: 0}, [source]
+    while level:
+        further = {b for a, b in edges if a in level} - out.keys()
+        out |= dict.fromkeys(further, max(out.values()) + 1)
+        level = further
+    return out
+
+
+def test_shortest_paths_between_all(spark, con):
+    edges = knows_of(spark)
+    nodes = {a for a, _ in edges}  # every customer knows somebody; the one key beyond them that is known isn't a customer
+    want = {(a, b, d) for a in nodes for b, d in depths(edges, a).items() if 1 <= d <= 4 and b in nodes}
+    got = [tuple(r) for r in workload.queries()["shortest_path_all"](spark, DATA).select("a", "b", "d").collect()]
+    assert len(got) == len(want) and set(got) == want and max(a for a, _, _ in got) > 60

@@ -193,6 +193,11 @@ def _varlen(key: str, hops: str, low: int, high: int, edges: str = "knows", arro
         f"MATCH (a:Customer){left}[:KNOWS{hops}]{right}(b:Customer) WHERE a.c_custkey <= 20 RETURN a.c_custkey AS a, count(*) AS n",
         f"WITH RECURSIVE {KNOWS}{extra}, {_REACH.format(e=name, w='a <= 20', high=high)} SELECT src AS a, count(*) AS n FROM firsts WHERE d >= {low} GROUP BY 1",
     )
+    add(
+        f"{key}_all",
+        f"MATCH (a:Customer){left}[:KNOWS{hops}]{right}(b:Customer) RETURN a.c_custkey AS a, count(*) AS n",
+        f"WITH RECURSIVE {KNOWS}{extra}, {_REACH.format(e=name, w='TRUE', high=high)} SELECT src AS a, count(*) AS n FROM firsts WHERE d >= {low} GROUP BY 1",
+    )
 
 
 _varlen("varlen_1_2", "*1..2", 1, 2)
@@ -208,6 +213,12 @@ add(
     lambda s, d: (lambda g: shortest_paths(g.catalog.need("KNOWS").df, g.catalog.need("Customer").df.filter("c_custkey <= 3").select(F.col("c_custkey").alias("_src")).crossJoin(g.catalog.need("Customer").df.filter("c_custkey <= 60").select(F.col("c_custkey").alias("_dst"))), 4).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), (F.size("_path") - 1).cast("bigint").alias("d")))(graph(s, d)),
     f"WITH RECURSIVE {KNOWS}, {_REACH.format(e='knows', w='a <= 3', high=4)} SELECT x.c_custkey AS a, y.c_custkey AS b, CASE WHEN x.c_custkey = y.c_custkey THEN 0 ELSE coalesce(d, -1) END AS d FROM customer x JOIN customer y ON x.c_custkey <= 3 AND y.c_custkey <= 60 LEFT JOIN firsts ON src = x.c_custkey AND dst = y.c_custkey",
 )
+add("shortest_path_all", "MATCH p = shortestPath((a:Customer)-[:KNOWS*1..4]->(b:Customer)) RETURN a.c_custkey AS a, b.c_custkey AS b, size(p) - 1 AS d", None)
+add(
+    "shortest_path_pairs_all",
+    lambda s, d: (lambda g: shortest_paths(g.catalog.need("KNOWS").df, (c := g.catalog.need("Customer").df).select(F.col("c_custkey").alias("_src")).crossJoin(c.select(F.col("c_custkey").alias("_dst"))), 4).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), (F.size("_path") - 1).cast("bigint").alias("d")))(graph(s, d)),
+    f"WITH RECURSIVE {KNOWS}, {_REACH.format(e='knows', w='TRUE', high=4)} SELECT x.c_custkey AS a, y.c_custkey AS b, CASE WHEN x.c_custkey = y.c_custkey THEN 0 ELSE coalesce(d, -1) END AS d FROM customer x CROSS JOIN customer y LEFT JOIN firsts ON src = x.c_custkey AND dst = y.c_custkey",
+)
 add("reachable_api", lambda s, d: reachable(graph(s, d).catalog.need("NEXT").df, None, 1, 30).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), F.col("_depth").alias("d")), f"WITH RECURSIVE {TURNS}, {_REACH.format(e='nexts', w='TRUE', high=30)} SELECT src AS a, dst AS b, d FROM firsts")
 
 # -- unwind, sort, limit, set operations --------------------------------------------------
@@ -281,19 +292,21 @@ add("dml_delete", after("MATCH (c:Customer)-[k:KNOWS]->(d:Customer) WHERE c.c_cu
 add("dml_detach_delete", after("MATCH (c:Customer) WHERE c.c_custkey <= 100 DETACH DELETE c", "MATCH (c:Customer)-[:KNOWS]->(d:Customer) RETURN c.c_custkey AS a, d.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows WHERE a > 100 AND b > 100")
 add("dml_merge", after("UNWIND [1, 777] AS k MERGE (r:Region {r_regionkey: k}) ON CREATE SET r.r_name = 'NEW' ON MATCH SET r.r_name = 'OLD'", "MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS n"), "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_regionkey = 1 THEN 'OLD' ELSE r_name END AS n FROM region UNION ALL SELECT 777, 'NEW'")
 add("dml_merge_rel", after("MATCH (a:Customer), (b:Customer) WHERE a.c_custkey <= 3 AND b.c_custkey <= 3 AND a.c_custkey <> b.c_custkey MERGE (a)-[:KNOWS]->(b)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) WHERE a.c_custkey <= 3 AND b.c_custkey <= 3 RETURN count(*) AS n"), "SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey WHERE a.c_custkey <= 3 AND b.c_custkey <= 3")
+add("dml_merge_rel_all", after("MATCH (a:Customer)-[:KNOWS]->(b:Customer) MERGE (b)-[:KNOWS]->(a)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows UNION SELECT b, a FROM knows")
 add("txn_rollback", after("BEGIN TRANSACTION", "MATCH (c:Customer) SET c.c_name = 'x'", "ROLLBACK", "MATCH (c:Customer) RETURN c.c_custkey AS k, c.c_name AS n"), "SELECT c_custkey AS k, c_name AS n FROM customer")
 add("macro", after("CREATE MACRO plus(a, b) AS a + b * 2", "MATCH (p:Part) RETURN p.p_partkey AS k, plus(p.p_size, 1) AS v"), "SELECT p_partkey AS k, p_size + 2 AS v FROM part")
 
 
-def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order changes its customer's balance and segment; customers over 1400 go; new ones come."""
+def _delta(spark: SparkSession, sf_dir: str, orders: str = "o_custkey % 3 = 0") -> DataFrame:
+    """Every order of ``orders`` changes its customer's balance; customers over 1400 go; new ones come."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    up = t("orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.lit("upsert").alias("_op"), F.col("o_orderkey").alias("_at"), F.lit(None).cast("string").alias("c_name"), F.lit(False).alias("_has_c_name"), F.lit(None).cast("int").alias("c_nationkey"), F.lit(False).alias("_has_c_nationkey"), F.col("o_totalprice").alias("c_acctbal"), F.lit(True).alias("_has_c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"), F.lit(False).alias("_has_c_mktsegment"))
+    up = t("orders").filter(orders).select(F.col("o_custkey").alias("c_custkey"), F.lit("upsert").alias("_op"), F.col("o_orderkey").alias("_at"), F.lit(None).cast("string").alias("c_name"), F.lit(False).alias("_has_c_name"), F.lit(None).cast("int").alias("c_nationkey"), F.lit(False).alias("_has_c_nationkey"), F.col("o_totalprice").alias("c_acctbal"), F.lit(True).alias("_has_c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"), F.lit(False).alias("_has_c_mktsegment"))
     gone = t("customer").filter("c_custkey > 1400").select("c_custkey", F.lit("delete").alias("_op"), F.lit(1 << 60).alias("_at"), F.lit(None).cast("string").alias("c_name"), F.lit(False).alias("_has_c_name"), F.lit(None).cast("int").alias("c_nationkey"), F.lit(False).alias("_has_c_nationkey"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(False).alias("_has_c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"), F.lit(False).alias("_has_c_mktsegment"))
     return merge(t("customer"), ["c_custkey"], up.unionByName(gone))[0].select("c_custkey", "c_name", "c_acctbal")
 
 
 add("delta_merge", _delta, "WITH last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer FULL JOIN last ON o_custkey = c_custkey WHERE coalesce(c_custkey, o_custkey) <= 1400 OR c_custkey IS NULL")
+add("delta_merge_all", lambda s, d: _delta(s, d, "true"), "WITH last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer FULL JOIN last ON o_custkey = c_custkey WHERE coalesce(c_custkey, o_custkey) <= 1400 OR c_custkey IS NULL")
 
 
 def _copied(kind: str) -> Query:
