@@ -66,3 +66,19 @@ def test_shortest_paths_between_all(spark, con):
     want = {(a, b, d) for a in nodes for b, d in depths(edges, a).items() if 1 <= d <= 4 and b in nodes}
     got = [tuple(r) for r in workload.queries()["shortest_path_all"](spark, DATA).select("a", "b", "d").collect()]
     assert len(got) == len(want) and set(got) == want and max(a for a, _, _ in got) > 60
+
+
+def test_betweenness_of_the_whole_graph(spark, con):
+    edges = knows_of(spark)
+    nodes = {x for e in edges for x in e}
+    out = {a: [y for x, y in edges if x == a] for a in nodes}
+    depth, ways = {}, {}
+    for s in nodes:
+        depth[s], ways[s] = depths(edges, s), {s: 1}
+        for v in sorted(depth[s], key=depth[s].get):
+            for w in out[v]:
+                if depth[s][w] == depth[s][v] + 1:
+                    ways[s][w] = ways[s].get(w, 0) + ways[s][v]
+    want = {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in nodes if v in depth[s] and v != s for t in depth[s] if t not in (s, v) and t in depth[v] and depth[s][v] + depth[v][t] == depth[s][t]) for v in nodes}
+    got = {r["node_id"]: r["centrality"] for r in workload.queries()["algo_betweenness"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and max(got) > 50 and all(abs(got[v] - want[v]) < 1e-5 for v in nodes)

@@ -241,7 +241,7 @@ add(
     f"WITH {KNOWS}, nodes AS (SELECT a AS v FROM knows UNION SELECT b FROM knows), cnt AS (SELECT count(*) AS n FROM nodes), outs AS (SELECT a, count(*) AS d FROM knows GROUP BY 1), r0 AS (SELECT v, 1.0::DOUBLE / (SELECT n FROM cnt) AS r FROM nodes), " + ", ".join(_ROUND.format(k=k, p=k - 1) for k in range(1, 6)) + " SELECT v AS node_id, round(r * 1e9) AS rank FROM r5",
 )
 add("algo_wcc", lambda s, d: algo.components(algo.edges_of(graph(s, d), "NEXT")), f"WITH {TURNS}, g AS (SELECT id, conv_id FROM turns WHERE id IN (SELECT a FROM nexts UNION SELECT b FROM nexts)), m AS (SELECT id, id - row_number() OVER (PARTITION BY conv_id ORDER BY id) AS isl, conv_id FROM (SELECT DISTINCT id, conv_id FROM g) x) SELECT id AS node_id, min(id) OVER (PARTITION BY conv_id, isl) AS component FROM m")
-add("algo_betweenness", lambda s, d: algo.betweenness(algo.edges_of(graph(s, d), "KNOWS").filter("_src <= 50 AND _dst <= 50")).select("node_id", F.round("centrality", 6).alias("centrality")), None)
+add("algo_betweenness", lambda s, d: algo.betweenness(algo.edges_of(graph(s, d), "KNOWS")).select("node_id", F.round("centrality", 6).alias("centrality")), None)
 add("call_pagerank", "CALL algo.pageRank(0.85, 3, 0, rel = 'IN_REGION') YIELD node_id AS id, rank", None)
 add(
     "vector_l2",
