@@ -2,7 +2,8 @@
 
 Each page scores its containers and names the generalised tag-class path of the best.
 The hosts' pages vote in Spark; every page is then extracted from the containers on its
-host's winning path, or from its own best one where it has none there.
+host's winning path, or from its own best one where it has none there. A container that
+stands in an article or main element stands for all of the nearest one.
 """
 
 from __future__ import annotations
@@ -153,6 +154,12 @@ def _containers(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _above(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def best_path(page: str) -> tuple[str, float]:
     """Path of the container with the highest score and its share of the page's score.
 
@@ -176,14 +183,34 @@ def best_path(page: str) -> tuple[str, float]:
     return top.path, top.score / max(total, 1.0)
 
 
+def _article(node: Node | None) -> Node | None:
+    """The nearest article or main element that ``node`` is or stands in."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node
+
+
+def _on(node: Node | None, path: str) -> Node | None:
+    """The outermost container on ``path`` that ``node`` is or stands in."""
+    found = None
+    for x in _containers(node):
+        if x.path == path:
+            found = x
+    return found
+
+
 def extract(page: str, path: str | None) -> str:
-    """Blocks of the containers on ``path`` (or within one of them), joined by newlines; the page's own best path where it has no text there."""
+    """Blocks of the containers on ``path``, or of the nearest article or main around them, joined by newlines;
+    the page's own best path where it has no text there."""
     blocks = parse(page)
     for p in (path, None):
         if p is None:
             p = best_path(page)[0]
         if p:
-            got = [t for owner, pieces, _ in blocks if (owner.path == p or owner.path.startswith(p + ">")) and (t := _clean(pieces))]
+            texts = [(owner, t) for owner, pieces, _ in blocks if (t := _clean(pieces))]
+            within = [(owner.path == p or owner.path.startswith(p + ">")) for owner, _ in texts]
+            whole = {id(a) for (owner, _), x in zip(texts, within) if x and (a := _article(_on(owner, p)))}
+            got = [t for (owner, t), x in zip(texts, within) if x or (whole and any(id(a) in whole for a in _above(owner)))]
             if got:
                 return "\n".join(got)
     return "\n".join(t for _, pieces, _ in blocks if (t := _clean(pieces)))
