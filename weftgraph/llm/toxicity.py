@@ -25,7 +25,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 BREAKS = ".-_*~'’:/\\ "
 EDGE = ".,;:?\"'’()[]{}<>%#&*~=_-/\\|"
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\s.,;:!?])")
-TRIPLE = re.compile(r"(.)\1\1")
+TRIPLE, REPEATED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{3,}", re.S)
+#: Signs that are decoded at a time: twice those of a word of 30 spaced letters.
+PIECE = 120
+#: Costs of a word's end within a run: as the trigrams have it, and less, for one-letter and rare words.
+ENDS = (0.0, -1.5)
 #: Costs (negative log probabilities) of the channel.
 FOLD, DROP, KEEP_RUN, SIGN = 0.7, 1.5, 2.5, 0.3
 
@@ -42,8 +46,8 @@ class CharModel:
     def cost(self, context: str, c: str) -> float:
         return -math.log((self.tri.get(context + c, 0) + self.k) / (self.bi.get(context, 0) + self.k * self.size))
 
-    def restore(self, word: str) -> str:
-        """The likeliest letters behind ``word`` (lower case)."""
+    def restore(self, word: str, ends: float | None = None) -> str:
+        """The likeliest letters behind ``word`` (lower case); with ``ends``, a break may be the end of a word too (a space), at that cost."""
         beams = {"^^": (0.0, "")}
         for run in re.finditer(r"(.)\1*", word, re.S):
             c, n = run[1], len(run[0])
@@ -57,6 +61,10 @@ class CharModel:
                 options = [("", DROP)]
             following: dict[str, tuple[float, str]] = {}
             for state, (cost, said) in beams.items():
+                if ends is not None and c in BREAKS and said and said[-1] != " ":
+                    total = cost + self.cost(state, "$") + ends
+                    if "^^" not in following or (total, said + " ") < following["^^"]:
+                        following["^^"] = (total, said + " ")
                 for out, price in options:
                     s, total = state, cost + price
                     for x in out:
@@ -72,6 +80,13 @@ def plain_words(text: str) -> set[str]:
     return {w.strip(EDGE + "!") for w in text.lower().split()}
 
 
+def pieces(run: str) -> list[str]:
+    """``run`` in pieces of ``PIECE`` signs at most, each of which repeats the last half of the one before. Of one sign in
+    a row three stay; more are read the same."""
+    run = REPEATED.sub(r"\1\1\1", run)
+    return [run[i : i + PIECE] for i in range(0, max(1, len(run) - PIECE // 2), PIECE // 2)]
+
+
 class Restorer:
     def __init__(self, model: CharModel):
         self.model, self.cache = model, {}
@@ -84,6 +99,19 @@ class Restorer:
                 self.cache[word] = got
         return got
 
+    def parts(self, run: str) -> set[str]:
+        """The likeliest words behind ``run``, whose breaks may end words."""
+        out: set[str] = set()
+        for x in pieces(run):
+            key = " " + x  # no odd word begins with a space
+            got = self.cache.get(key)
+            if got is None:
+                got = " ".join(self.model.restore(x, e) for e in ENDS)
+                if len(self.cache) < 200_000:
+                    self.cache[key] = got
+            out.update(got.split())
+        return out
+
     def words(self, text: str) -> tuple[set[str], set[str]]:
         """Distinct words of ``text``: those that are plain, and odd ones as restored."""
         low = text.lower()
@@ -96,12 +124,18 @@ class Restorer:
                 continue
             core = w.strip(EDGE)
             for x in {core, core.rstrip("!")}:  # a call, or the letter i
-                if 3 <= len(x) <= 40 and not x.isalpha() and sum(map(str.isalpha, x)) >= 2:
-                    restored.add(self.decoded(x))
+                if len(x) >= 3 and not x.isalpha() and sum(map(str.isalpha, x)) >= 2:
+                    x = REPEATED.sub(r"\1\1\1", x)
+                    restored |= {self.decoded(x)} if len(x) <= 40 else self.parts(x)
         if TRIPLE.search(low):
-            restored |= {self.decoded(w) for w in plain if 3 <= len(w) <= 60 and w.isalpha() and TRIPLE.search(w)}
+            restored |= {self.decoded(x) for w in plain if len(w) >= 3 and w.isalpha() and TRIPLE.search(w) for x in pieces(w)}
         if sum(len(w) == 1 for w in split) >= 3:
-            restored |= {self.decoded(m[0]) for m in SPACED.finditer(low) if len(m[0]) <= 120}
+            for m in SPACED.finditer(low):
+                # the first and the last sign may be words beside it (a, I)
+                for x in {m[0], m[0][1:].lstrip(BREAKS), m[0][:-1].rstrip(BREAKS)}:
+                    restored |= self.parts(x)
+                    if len(x) <= 120:
+                        restored.add(self.decoded(x))
         plain.discard("")
         restored.discard("")
         return plain, restored
