@@ -3,8 +3,8 @@
 A document's histogram of character classes and its histogram of common words are
 compared with those of its language by the Jensen-Shannon distance. The language
 references are sums over all documents. Common words are the ``n_common`` most
-frequent words of a language with at most ``common_chars`` code points: function
-words are short, and their number is bounded, so counting them shuffles little.
+frequent words of a language, whatever their length; each task adds up its counts
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def repeat_words(w: Column) -> Column:
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words of at most ``common_chars`` are left out here; one row per document."""
+    """doc_id, lang, base counts and words; one row per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     body = let(
@@ -88,16 +88,15 @@ def base_stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def language_references(docs: DataFrame, n_common: int = 32, common_chars: int = 4) -> DataFrame:
+def language_references(docs: DataFrame, n_common: int = 32) -> DataFrame:
     """One row per lang (null is one): ``q_chars`` (shares of the character classes),
-    ``common`` (most frequent short words; ties by word) and ``q_common`` (their shares of all words)."""
+    ``common`` (most frequent words; ties by word) and ``q_common`` (their shares of all words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     word_chars = F.char_length(F.regexp_replace(text, SPACE, ""))
     sums = docs.groupBy("lang").agg(
         F.sum(word_chars).alias("word_chars"), F.sum(F.char_length(text)).alias("n_chars"), *[F.sum(_matched(text, p)).alias(k) for k, p in CLASSES.items()]
     )
-    short = F.filter(words_of(F.col("text")), lambda x: F.char_length(x) <= common_chars)
-    counts = docs.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = (
         counts.withColumn("r", rank)
@@ -130,7 +129,6 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality_rules(
     docs: DataFrame,
     n_common: int = 32,
-    common_chars: int = 4,
     min_chars: int = 200,
     min_common: int = 20,
     max_char_distance: float = 0.3,
@@ -145,7 +143,7 @@ def quality_rules(
     other documents without lang. Repeated rows each give their row; an empty table gives none.
     """
     docs = docs.select("doc_id", "text", "lang")
-    refs = language_references(docs, n_common, common_chars)
+    refs = language_references(docs, n_common)
     rows = refs.limit(MAX_LANGS + 1).collect()
     if len(rows) <= MAX_LANGS:
         refs = F.broadcast(docs.sparkSession.createDataFrame(rows, refs.schema))
@@ -156,7 +154,7 @@ def quality_rules(
     p_chars = F.array(*[F.col(k) / total for k in CLASSES], (F.col("n_chars") - F.col("b.word_chars")) / total, rest / total)
 
     def common(w: Column) -> Column:
-        hits = F.filter(w, lambda x: (F.char_length(x) <= common_chars) & F.array_contains(F.col("common"), x))
+        hits = F.filter(w, lambda x: F.array_contains(F.col("common"), x))
 
         def distance(h: Column) -> Column:
             n = F.size(h)
