@@ -25,66 +25,65 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def _matched(text: Column, pattern: str) -> Column:
-    """Code points of ``text`` that ``pattern`` matches."""
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+def _signs(text: Column) -> Column:
+    """What ``text`` has of ``CLASSES``: one scan of the whole text, after which each class is counted on the few signs left."""
+    kept = "".join(p.removesuffix("+").removeprefix("[").removesuffix("]") for p in CLASSES.values())
+    return F.regexp_replace(text, f"[^{kept}]+", "")
 
 
-def repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more.
+def _matched(signs: Column, pattern: str) -> Column:
+    """Code points of ``signs`` that ``pattern`` matches."""
+    return F.char_length(signs) - F.char_length(F.regexp_replace(signs, pattern, ""))
 
-    Windows are sorted by (hash, place) packed in one long; neighbours with the same
-    hash are compared word by word.
+
+def _windows(w: Column) -> Column:
+    """Hashes of the 3-word windows of ``w``; null under four words, which can't hold one twice."""
+    return F.when(F.size(w) >= 4, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
+
+
+def repeat_words(w: Column, hashes: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more; ``hashes`` are those of ``_windows``.
+
+    Windows with distinct hashes are distinct, which settles most texts. Else the windows themselves are
+    sorted with their places (words hold no space, so joining them by one is exact) and neighbours are compared.
     """
-    n = F.size(w)
-    m = n - 2
-
-    def inner(bits: Column) -> Column:
-        mask = F.shiftright(F.lit(-1).cast("long"), 0).bitwiseAND(F.expr("1L") * F.pow(F.lit(2.0), bits).cast("long") - 1)
-        packed = F.transform(
-            F.sequence(F.lit(0), m - 1),
-            lambda i: F.call_function("shiftleft", F.xxhash64(w[i], w[i + 1], w[i + 2]), bits).bitwiseOR(i.cast("long")),
-        )
-
-        def positions(s: Column) -> Column:
-            def same(a: Column, b: Column) -> Column:
-                return (F.call_function("shiftrightunsigned", s[a], bits) == F.call_function("shiftrightunsigned", s[b], bits)) & let(
-                    F.struct(s[a].bitwiseAND(mask).cast("int").alias("p"), s[b].bitwiseAND(mask).cast("int").alias("q")),
-                    lambda x: (w[x.p] == w[x.q]) & (w[x.p + 1] == w[x.q + 1]) & (w[x.p + 2] == w[x.q + 2]),
-                )
-
-            hit = F.filter(
-                F.sequence(F.lit(0), m - 1),
-                lambda k: ((k > 0) & same(k, k - 1)) | ((k < m - 1) & same(k, k + 1)),
-            )
-            return F.sort_array(F.transform(hit, lambda k: s[k].bitwiseAND(mask).cast("int")))
-
-        return let(let(F.sort_array(packed), positions), covered)
+
+    def positions(s: Column) -> Column:
+        same = lambda k, j: F.coalesce(s[k].x == F.get(s, j).x, F.lit(False))
+        hit = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
+        return F.sort_array(F.transform(hit, lambda k: s[k].i))
 
     def covered(p: Column) -> Column:
-        gaps = F.transform(p, lambda x, j: F.when(j + 1 < F.size(p), F.least(F.lit(3), p[j + 1] - x)).otherwise(3))
+        gaps = F.transform(p, lambda x, j: F.when(j + 1 < F.size(p), F.least(F.lit(3), F.get(p, j + 1) - x)).otherwise(3))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    bits = F.char_length(F.bin(n.cast("long")))
-    return F.when(n >= 4, let(bits, inner)).otherwise(0).cast("long")
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("x"), i.alias("i")))
+    slow = let(let(F.sort_array(windows), positions), covered)
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), slow).otherwise(0).cast("long")
+
+
+def dup_lines(lines: Column) -> Column:
+    """Lines with a word that equal an earlier one."""
+    worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.when(F.size(F.array_distinct(lines)) < F.size(lines), let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("long")
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, base counts and words; one row per document."""
+    """doc_id, lang, base counts and words ``w``; one row per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    body = let(
-        words_of(F.col("text")),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeat_words(w).alias("n_repeat_words"),
-            w.alias("w"),
-        ),
-    )
-    classes = [_matched(text, p).cast("long").alias(k) for k, p in CLASSES.items()]
-    return docs.select(
-        "doc_id", "lang", body.alias("b"), let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), F.char_length(text).cast("long").alias("n_chars"), *classes
+    # each step is a projection of its own, so that what a step uses twice is evaluated once
+    split = docs.select("doc_id", "lang", words_of(F.col("text")).alias("w"), F.split(text, "\n").alias("lines"), _signs(text).alias("signs"), F.char_length(text).cast("long").alias("n_chars"))
+    hashed = split.withColumn("h", _windows(F.col("w")))
+    return hashed.select(
+        "doc_id",
+        "lang",
+        "w",
+        "n_chars",
+        F.size("w").cast("long").alias("n_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        repeat_words(F.col("w"), F.col("h")).alias("n_repeat_words"),
+        dup_lines(F.col("lines")).alias("n_dup_lines"),
+        *[_matched(F.col("signs"), p).cast("long").alias(k) for k, p in CLASSES.items()],
     )
 
 
@@ -92,9 +91,10 @@ def language_references(docs: DataFrame, n_common: int = 32) -> DataFrame:
     """One row per lang (null is one): ``q_chars`` (shares of the character classes),
     ``common`` (most frequent words; ties by word) and ``q_common`` (their shares of all words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    word_chars = F.char_length(F.regexp_replace(text, SPACE, ""))
-    sums = docs.groupBy("lang").agg(
-        F.sum(word_chars).alias("word_chars"), F.sum(F.char_length(text)).alias("n_chars"), *[F.sum(_matched(text, p)).alias(k) for k, p in CLASSES.items()]
+    sums = (
+        docs.select("lang", F.char_length(F.array_join(words_of(F.col("text")), "")).alias("word_chars"), F.char_length(text).alias("n_chars"), _signs(text).alias("signs"))
+        .groupBy("lang")
+        .agg(F.sum("word_chars").alias("word_chars"), F.sum("n_chars").alias("n_chars"), *[F.sum(_matched(F.col("signs"), p)).alias(k) for k, p in CLASSES.items()])
     )
     counts = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -150,31 +150,59 @@ def quality_rules(
     s = base_stats(docs)
     s = s.join(refs.withColumnRenamed("lang", "ref_lang"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     total = F.greatest(F.col("n_chars"), F.lit(1))
-    rest = F.col("b.word_chars") - sum((F.col(k) for k in CLASSES), F.lit(0))
-    p_chars = F.array(*[F.col(k) / total for k in CLASSES], (F.col("n_chars") - F.col("b.word_chars")) / total, rest / total)
-
-    def common(w: Column) -> Column:
-        hits = F.filter(w, lambda x: F.array_contains(F.col("common"), x))
-
-        def distance(h: Column) -> Column:
-            n = F.size(h)
-            shares = F.transform(F.col("common"), lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double") / n)
-            return F.when(n >= min_common, js_distance(shares, F.col("q_common")))
-
-        return let(hits, distance)
+    rest = F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.lit(0))
+    p_chars = F.array(*[F.col(k) / total for k in CLASSES], (F.col("n_chars") - F.col("word_chars")) / total, rest / total)
 
+    # places of the text's words among the common ones, then how often each place is met
+    s = s.withColumn("hits", F.filter(F.transform("w", lambda x: F.array_position("common", x)), lambda i: i > 0))
+    n = F.size("hits")
+    shares = F.transform(F.sequence(F.lit(1), F.size("common")), lambda i: (n - F.size(F.array_remove("hits", i.cast("long")))).cast("double") / n)
+    js_common = F.when(n >= min_common, js_distance(shares, F.col("q_common")))
     out = s.select(
         "doc_id",
-        "b.n_words",
-        "b.word_chars",
+        "n_words",
+        "word_chars",
         F.col("symbols").alias("n_symbols"),
         "n_dup_lines",
-        "b.n_repeat_words",
+        "n_repeat_words",
         F.when(F.col("n_chars") >= min_chars, F.round(js_distance(p_chars, F.col("q_chars")), 6)).alias("js_chars"),
-        F.round(common(F.col("b.w")), 6).alias("js_common"),
+        F.round(js_common, 6).alias("js_common"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = (F.coalesce("js_chars", F.lit(0.0)) <= max_char_distance) & (F.coalesce("js_common", F.lit(0.0)) <= max_common_distance)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & fine).alias("kept"), "js_chars", "js_common"
     )
+
+
+#: The same rows in SQL.
+RULES_SQL = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS n_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits,
+    length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '[.,;:!?''"()\[\]{}=+@_/-]', '', 'g')) AS marks,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    CASE WHEN len(w) < 3 THEN [] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS g,
+    row_number() OVER () AS rid FROM d),
+hits AS (SELECT rid, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM b),
+twice AS (SELECT rid, x FROM hits GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM hits JOIN twice USING (rid, x), (VALUES (0), (1), (2)) v(k) GROUP BY 1),
+ref AS (SELECT lang, greatest(sum(n_chars), 1) AS n, sum(word_chars) AS wc, sum(n_chars) AS nc, sum(symbols) AS s, sum(digits) AS g, sum(upper) AS u, sum(marks) AS m FROM b GROUP BY 1),
+q AS (SELECT lang, [s / n, g / n, u / n, m / n, (nc - wc) / n, (wc - s - g - u - m) / n] AS q_chars FROM ref),
+words AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM b) y GROUP BY 1, 2),
+top AS (SELECT lang, x, n, n / sum(n) OVER (PARTITION BY lang) AS share FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM words) y WHERE r <= 32),
+own AS (SELECT rid, lang, x, count(*) AS n FROM (SELECT rid, lang, unnest(w) AS x FROM b) y SEMI JOIN top ON top.lang IS NOT DISTINCT FROM y.lang AND top.x = y.x GROUP BY 1, 2, 3),
+size AS (SELECT rid, lang, sum(n) AS n FROM own GROUP BY 1, 2 HAVING sum(n) >= 20),
+pairs AS (SELECT size.rid, coalesce(own.n, 0) / size.n AS p, top.share AS q FROM size JOIN top ON top.lang IS NOT DISTINCT FROM size.lang LEFT JOIN own ON own.rid = size.rid AND own.x = top.x),
+common AS (SELECT rid, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2)), 6) AS js FROM pairs GROUP BY 1),
+chars AS (
+  SELECT rid, round(sqrt(greatest(0, list_sum(list_transform(list_zip([symbols / n_chars, digits / n_chars, upper / n_chars, marks / n_chars, (n_chars - word_chars) / n_chars, (word_chars - symbols - digits - upper - marks) / n_chars], q_chars),
+    lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END)) / 2)), 6) AS js
+  FROM b JOIN q ON q.lang IS NOT DISTINCT FROM b.lang WHERE n_chars >= 200),
+out AS (
+  SELECT doc_id, n_words, word_chars, symbols AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, chars.js AS js_chars, common.js AS js_common
+  FROM b LEFT JOIN rep USING (rid) LEFT JOIN chars USING (rid) LEFT JOIN common USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM out)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(js_chars, 0) <= 0.3 AND coalesce(js_common, 0) <= 0.65 AS kept, js_chars, js_common FROM judged
+"""

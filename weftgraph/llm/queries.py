@@ -13,7 +13,7 @@ from .html import main_text
 from .langid import language_id
 from .minhash import near_duplicates
 from .mixing import mixing_rates
-from .quality import quality_rules
+from .quality import RULES_SQL, quality_rules
 from .suffix_dedup import suffix_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
@@ -82,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_chat_perspectives": ROTATE_SQL,
+    "op8_quality_divergence": RULES_SQL,
 }
