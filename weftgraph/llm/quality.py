@@ -38,14 +38,16 @@ def _matched(signs: Column, pattern: str) -> Column:
 
 def _windows(w: Column) -> Column:
     """Hashes of the 3-word windows of ``w``; null under four words, which can't hold one twice."""
-    return F.when(F.size(w) >= 4, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
+    # bound, so that ``w`` is evaluated once even where a filter on the results is pushed below it
+    hashes = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 3), lambda i: F.xxhash64(v[i], v[i + 1], v[i + 2]))
+    return F.when(F.size(w) >= 4, let(w, hashes))
 
 
 def repeat_words(w: Column, hashes: Column) -> Column:
     """Words that lie in a 3-word window found twice or more; ``hashes`` are those of ``_windows``.
 
-    Windows with distinct hashes are distinct, which settles most texts. Else the windows themselves are
-    sorted with their places (words hold no space, so joining them by one is exact) and neighbours are compared.
+    Windows with distinct hashes are distinct, which settles most texts. Else the windows are sorted by hash, then
+    by their words, and neighbours that agree in all are found twice.
     """
 
     def positions(s: Column) -> Column:
@@ -57,7 +59,10 @@ def repeat_words(w: Column, hashes: Column) -> Column:
         gaps = F.transform(p, lambda x, j: F.when(j + 1 < F.size(p), F.least(F.lit(3), F.get(p, j + 1) - x)).otherwise(3))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("x"), i.alias("i")))
+    windows = let(
+        F.struct(w.alias("w"), hashes.alias("h")),
+        lambda b: F.transform(F.sequence(F.lit(0), F.size(b.w) - 3), lambda i: F.struct(F.struct(b.h[i], b.w[i], b.w[i + 1], b.w[i + 2]).alias("x"), i.alias("i"))),
+    )
     slow = let(let(F.sort_array(windows), positions), covered)
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), slow).otherwise(0).cast("long")
 
@@ -90,14 +95,14 @@ def base_stats(docs: DataFrame) -> DataFrame:
 def language_references(docs: DataFrame, n_common: int = 32) -> DataFrame:
     """One row per lang (null is one): ``q_chars`` (shares of the character classes),
     ``common`` (most frequent words; ties by word) and ``q_common`` (their shares of all words)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sums = (
-        docs.select("lang", F.char_length(F.array_join(words_of(F.col("text")), "")).alias("word_chars"), F.char_length(text).alias("n_chars"), _signs(text).alias("signs"))
-        .groupBy("lang")
-        .agg(F.sum("word_chars").alias("word_chars"), F.sum("n_chars").alias("n_chars"), *[F.sum(_matched(F.col("signs"), p)).alias(k) for k, p in CLASSES.items()])
-    )
     counts = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    # no class holds white space, so the classes are counted on the distinct words
+    signs = counts.select("lang", "n", F.char_length("word").alias("word_chars"), _signs(F.col("word")).alias("signs"))
+    classes = signs.groupBy("lang").agg(F.sum(F.col("n") * F.col("word_chars")).alias("word_chars"), *[F.sum(F.col("n") * _matched(F.col("signs"), p)).alias(k) for k, p in CLASSES.items()])
+    chars = docs.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n_chars"))
+    zero = F.lit(0).cast("long")
+    sums = chars.join(classes.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", *[F.coalesce(k, zero).alias(k) for k in ("n_chars", "word_chars", *CLASSES)])
     top = (
         counts.withColumn("r", rank)
         .filter(F.col("r") <= n_common)
@@ -153,10 +158,9 @@ def quality_rules(
     rest = F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.lit(0))
     p_chars = F.array(*[F.col(k) / total for k in CLASSES], (F.col("n_chars") - F.col("word_chars")) / total, rest / total)
 
-    # places of the text's words among the common ones, then how often each place is met
-    s = s.withColumn("hits", F.filter(F.transform("w", lambda x: F.array_position("common", x)), lambda i: i > 0))
+    s = s.withColumn("hits", F.filter("w", lambda x: F.array_contains("common", x)))
     n = F.size("hits")
-    shares = F.transform(F.sequence(F.lit(1), F.size("common")), lambda i: (n - F.size(F.array_remove("hits", i.cast("long")))).cast("double") / n)
+    shares = let(F.col("hits"), lambda h: F.transform("common", lambda c: (F.size(h) - F.size(F.array_remove(h, c))).cast("double") / F.size(h)))
     js_common = F.when(n >= min_common, js_distance(shares, F.col("q_common")))
     out = s.select(
         "doc_id",
