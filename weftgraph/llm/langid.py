@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import mix64, slices
 
 N, SLOT_BITS, HASHES = 4, 18, 2
+#: Characters that are hashed at a time.
+PIECE = 1 << 19
 
 
 def in_fold(doc_id: Column, mod: int = 3, rest: int = 1) -> Column:
@@ -43,7 +45,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = "\0\0".join(x.lower() for x in texts) + "\0\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
-    gone = codes == 0
     codes = np.where(letter, codes, np.uint32(32))
     # lower() can change lengths, so texts' ends are found by their marks, of which the texts' own zeros are none
     lengths = np.fromiter((len(x.lower()) + 2 for x in texts), np.int64, len(texts))
@@ -54,7 +55,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1] & ~letter[1:]
     keep[ends[:-1]] = True
     keep[:1] = True
-    del gone
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[keep]
     c = np.concatenate([[32], codes[keep], [32] * N]).astype(np.uint64)
     h = np.zeros(len(doc), np.uint64)
@@ -118,8 +118,10 @@ def learn(docs: DataFrame, train: Column, docs_per_lang: int = 3000, grams_per_l
 
         for batch in batches:
             texts, lang = batch.column(1).to_pylist(), np.asarray([langs.index(x) for x in batch.column(2).to_pylist()])
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 2 << 20):
-                h, bounds, _ = grams(texts[a:b])
+            pieces = [x[k : k + PIECE + N - 1] for x in texts for k in range(0, max(1, len(x)), PIECE)]
+            lang = np.repeat(lang, [max(1, -(-len(x) // PIECE)) for x in texts])
+            for a, b in slices(np.fromiter(map(len, pieces), np.int64, len(pieces)), PIECE):
+                h, bounds, _ = grams(pieces[a:b])
                 of = np.repeat(lang[a:b], np.diff(bounds))
                 for x in np.unique(of):
                     g, n = np.unique(h[of == x], return_counts=True)
@@ -136,6 +138,29 @@ def learn(docs: DataFrame, train: Column, docs_per_lang: int = 3000, grams_per_l
     return out
 
 
+def _judged(column, m: BitFilter) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """Slices of an Arrow column of texts: first row, languages, scores and coverages. A text longer than ``PIECE`` is read in
+    pieces that overlap by an n-gram less one, and their counts are added up."""
+    texts = [x or "" for x in column.to_pylist()]
+    for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), PIECE):
+        pieces = [texts[i][k : k + PIECE + N - 1] for i in range(a, b) for k in range(0, max(1, len(texts[i])), PIECE)]
+        of = np.repeat(np.arange(b - a), [max(1, -(-len(x) // PIECE)) for x in texts[a:b]])
+        count = np.zeros((b - a, max(1, len(m.langs))))
+        total, letters = np.zeros(b - a), np.zeros(b - a)
+        for i, j in [(0, len(pieces))] if len(pieces) == b - a else [(k, k + 1) for k in range(len(pieces))]:
+            h, bounds, n = grams(pieces[i:j])
+            np.add.at(total, of[i:j], np.diff(bounds))
+            np.add.at(letters, of[i:j], n)
+            if m.langs:
+                np.add.at(count, of[i:j], m.counts(h, bounds))
+        best, first, some = count.argmax(1), count.max(1), letters > 0
+        count[np.arange(b - a), best] = 0
+        second = count.max(1)
+        score = np.where(some & (first > 0), first / np.maximum(first + second, 1e-9), 0.0)
+        cover = np.where(some, first / np.maximum(total, 1), 0.0)
+        yield a, [m.langs[x] if ok and m.langs else "und" for x, ok in zip(best, some)], np.round(score, 6), np.round(np.minimum(cover, 1.0), 6)
+
+
 def identify(docs: DataFrame, model: BitFilter) -> DataFrame:
     """doc_id, lang_pred, score, coverage of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -148,34 +173,11 @@ def identify(docs: DataFrame, model: BitFilter) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = shared.value
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 20):
-                h, bounds, letters = grams(texts[a:b])
-                some = letters > 0
-                c = m.counts(h, bounds) if m.langs else np.zeros((b - a, 1))
-                best = c.argmax(1)
-                first = c.max(1)
-                c[np.arange(b - a), best] = 0
-                second = c.max(1)
-                score = np.where(some & (first > 0), first / np.maximum(first + second, 1e-9), 0.0)
-                cover = np.where(some, first / np.maximum(np.diff(bounds), 1), 0.0)
-                names = [m.langs[x] if ok and m.langs else "und" for x, ok in zip(best, some)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column(0).slice(a, b - a),
-                        "lang_pred": pa.array(names, pa.string()),
-                        "score": pa.array(np.round(score, 6)),
-                        "coverage": pa.array(np.round(np.minimum(cover, 1.0), 6)),
-                        "row": batch.column(2).slice(a, b - a),
-                    }
-                )
-
-    kind = docs.schema["row"].dataType.simpleString() if "row" in docs.columns else "int"
-    rows = docs.select("doc_id", "text", F.col("row") if "row" in docs.columns else F.lit(0).alias("row"))
-    out = rows.mapInArrow(run, f"doc_id long, lang_pred string, score double, coverage double, row {kind}")
-    return out if "row" in docs.columns else out.drop("row")
+            for a, names, score, cover in _judged(batch.column(1), shared.value):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, len(names)), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "coverage": pa.array(cover)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, coverage double")
 
 
 def language_id(docs: DataFrame, **options) -> DataFrame:
@@ -187,8 +189,18 @@ def language_id(docs: DataFrame, **options) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_coverage: float = 0.05, **options) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, and at least ``least_coverage`` of
-    the n-grams are those of the predicted language. Rows keep all their columns; null doc_ids and repeated rows are judged by their own text."""
+    the n-grams are those of the predicted language. Rows keep all their columns, whatever their names; null doc_ids and
+    repeated rows are judged by their own text; null and empty texts go; an empty table stays empty."""
     model = learn(docs.select("doc_id", "text", "lang"), ~in_fold(F.col("doc_id")), **options)
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    good = identify(packed, model).filter((F.col("lang_pred") != "und") & (F.col("coverage") >= least_coverage))
-    return good.select("row.*")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            good = [np.zeros(0, np.int64)]
+            for a, names, _, cover in _judged(batch.column(at), shared.value):
+                good.append(a + np.flatnonzero((np.asarray(names) != "und") & (cover >= least_coverage)))
+            yield batch.take(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
