@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+
 #: Texts are handed to Python code in slices of about this many bytes, so memory
 #: follows the slice and not the Arrow batch.
 SLICE_BYTES = 4 << 20
@@ -28,14 +29,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local runs and tests) a temporary one is used.
+    Only where the session names none, and in local mode only, a temporary one is used.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weft-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    return runtime.shared_dir(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -57,20 +53,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 def drop_stored(*frames: DataFrame) -> None:
     for frame in frames:
-        _delete(frame.sparkSession, frame._weft_path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        runtime.delete_path(frame.sparkSession, frame._weft_path)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            runtime.delete_path(spark, path)
         except Exception:  # the session may be gone; the folder is scratch space
             return
 
@@ -119,11 +109,21 @@ _LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Powers up to the size of a slice, made once; larger texts make their own.
+KEPT_POWERS = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1), modulo 2**64 (not to be written to)."""
+    got = _powers.get(int(base))
+    if got is None or len(got) < n:
+        out = np.full(max(n, 1 << 14) if n > KEPT_POWERS else min(KEPT_POWERS, max(1 << 14, 2 * n)), base, np.uint64)
+        out[:1] = 1
+        got = np.multiply.accumulate(out)
+        if len(got) <= KEPT_POWERS:
+            _powers[int(base)] = got
+    return got[:n]
 
 
 class Words:
@@ -156,3 +156,17 @@ def utf8(column) -> list[bytes]:
 
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     return [x or b"" for x in column.to_pylist()]
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hand Python workers batches of about ``size`` bytes, unless the session names its own limit: long texts
+    come a few at a time, and memory on both sides follows this and not the number of rows."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, _default_batch(spark)):
+        spark.conf.set(BATCH_BYTES, size)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _default_batch(spark: SparkSession) -> str | None:
+    return spark.newSession().conf.get(BATCH_BYTES, None)

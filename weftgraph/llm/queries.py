@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ensure_importable
+from .common import small_batches
 from .chat import ROTATE_SQL, rotate_perspectives
 from .decontam import leaks
 from .html import main_text
@@ -21,6 +22,7 @@ from .toxicity import toxicity
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
