@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -40,15 +41,33 @@ class Table:
         return replace(self, df=df)
 
 
+@dataclass(frozen=True)
+class Lazy:
+    """A table whose frame is made when a query first names it; its ends are known before."""
+
+    name: str
+    load: Callable[[], Table]
+    key: str | None = None
+    source: str | None = None
+    target: str | None = None
+
+    @property
+    def is_node(self) -> bool:
+        return self.key is not None
+
+
 class Catalog:
     """Tables by case-insensitive name. Changing a table swaps its entry; a snapshot is a copy of the map."""
 
     def __init__(self):
-        self.tables: dict[str, Table] = {}
+        self.tables: dict[str, Table | Lazy] = {}
         self.version = 0
 
     def get(self, name: str) -> Table | None:
-        return self.tables.get(name.lower())
+        t = self.tables.get(name.lower())
+        if isinstance(t, Lazy):
+            t = self.tables[name.lower()] = t.load()
+        return t
 
     def need(self, name: str, node: bool | None = None) -> Table:
         t = self.get(name)
@@ -61,14 +80,19 @@ class Catalog:
         self.version += 1
 
     def drop(self, name: str) -> None:
-        users = [t.name for t in self.tables.values() if not t.is_node and name.lower() in (t.source.lower(), t.target.lower())]
-        if self.get(name).is_node and users:
+        users = [t.name for t in self.rels(name)]
+        if self.tables[name.lower()].is_node and users:
             raise QueryError(f"{name} is an end of {', '.join(users)}")
         del self.tables[name.lower()]
         self.version += 1
 
+    def all(self) -> list[Table]:
+        return [self.get(k) for k in list(self.tables)]
+
     def nodes(self) -> list[Table]:
-        return [t for t in self.tables.values() if t.is_node]
+        return [t for t in self.all() if t.is_node]
 
-    def rels(self) -> list[Table]:
-        return [t for t in self.tables.values() if not t.is_node]
+    def rels(self, node: str | None = None) -> list[Table]:
+        """Relationship tables; with ``node`` only those that start or end at it."""
+        names = [k for k, t in self.tables.items() if not t.is_node and (node is None or node.lower() in (t.source.lower(), t.target.lower()))]
+        return [self.get(k) for k in names]

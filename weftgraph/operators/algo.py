@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..catalog import DST, SRC
 from ..plans.parser import QueryError
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
 #: Edges up to which an adjacency is sent to every task for betweenness; beyond it the call is refused.
 MAX_BROADCAST_EDGES = 5_000_000
@@ -39,17 +39,23 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iterations: int = 20,
     n = nodes.count()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("node_id", "_has", F.lit(1.0 / n).alias("rank"))
+    ranks, written = nodes.select("node_id", "_has", F.lit(1.0 / n).alias("rank")), nodes
     dangling = ranks.filter(F.col("_has").isNull()).count() / n
     for _ in range(max_iterations):
         given = ranks.join(weights, ranks.node_id == weights[SRC]).groupBy(F.col(DST).alias("_to")).agg(F.sum(F.col("rank") * F.col("_w")).alias("_in"))
         base = (1 - damping) / n + damping * dangling / n
         step = ranks.join(given, ranks.node_id == given["_to"], "left")
-        ranks = materialize(step.select("node_id", "_has", (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"), F.col("rank").alias("_old")))
-        dangling, moved = ranks.agg(F.coalesce(F.sum(F.when(F.col("_has").isNull(), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("_old")))).first()
-        ranks = ranks.drop("_old")
-        if moved < tolerance:
+        # what the next round and the end need to know is observed while the round is written
+        seen = Observation()
+        new = step.select("node_id", "_has", (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"), F.col("rank").alias("_old"))
+        new = new.observe(seen, F.coalesce(F.sum(F.when(F.col("_has").isNull(), F.col("rank"))), F.lit(0.0)).alias("dangling"), F.coalesce(F.sum(F.abs(F.col("rank") - F.col("_old"))), F.lit(0.0)).alias("moved"))
+        round_ = materialize(new.drop("_old"))
+        discard(written)
+        ranks = written = round_
+        dangling = seen.get["dangling"]
+        if seen.get["moved"] < tolerance:
             break
+    discard(weights)
     return ranks.select("node_id", "rank")
 
 
@@ -57,15 +63,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node_id, component: the least node that is connected, in whatever direction. Labels spread along
     edges and are followed to their own labels, so rounds grow with the logarithm of a component's width."""
     both = materialize(edges.select(SRC, DST).union(edges.select(DST, SRC)).toDF(SRC, DST).distinct())
-    labels = materialize(both.groupBy(F.col(SRC).alias("node_id")).agg(F.least(F.min(DST), F.first(SRC)).alias("component")))
+    labels = written = materialize(both.groupBy(F.col(SRC).alias("node_id")).agg(F.least(F.min(DST), F.first(SRC)).alias("component")))
     while True:
         near = both.join(labels, both[DST] == labels.node_id).groupBy(SRC).agg(F.min("component").alias("_near"))
         spread = labels.join(near, labels.node_id == near[SRC]).select("node_id", F.col("component").alias("_old"), F.least("component", "_near").alias("_next"))
         upper = labels.select(F.col("node_id").alias("_next"), F.col("component").alias("_up"))
         new = materialize(spread.join(upper, "_next", "left").select("node_id", F.least("_next", F.coalesce("_up", "_next")).alias("component"), "_old"))
+        discard(written)
         if new.filter("component <> _old").isEmpty():
+            discard(both)
             return new.select("node_id", "component")
-        labels = new.select("node_id", "component")
+        labels, written = new.select("node_id", "component"), new
 
 
 def betweenness(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import DST, SRC, Table
 from ..functions.typed import literal
@@ -93,43 +94,59 @@ class Mutator:
             by.setdefault(got[0], []).append((prop, e))
         for var, changes in by.items():
             b = state.scope[var]
-            t = self.session.catalog.need(b.label)
-            new = {}
-            for prop, e in changes:
-                col = t.column(prop)
-                if col is None:
-                    raise QueryError(f"{t.name} has no property {prop}")
-                if col.name == t.key:
+            tables = [self.session.catalog.need(x) for x in (b.tables or (b.label,))]
+            for prop, _ in changes:
+                if prop.lower() not in b.props:
+                    raise QueryError(f"{var} has no property {prop}")
+            values = {prop.lower(): compile_(e).cast(b.props[prop.lower()][1]).col for prop, e in changes}
+            for t in tables:
+                new = {t.column(k).name: v.cast(t.column(k).dataType) for k, v in values.items() if t.column(k)}
+                if t.key in new:
                     raise QueryError("a primary key can't be set")
-                new[col.name] = compile_(e).cast(col.dataType).col
-            keys = {t.key: b.key} if t.is_node else {SRC: b.key, DST: b.key.rsplit("·", 1)[0] + "·" + DST}
-            found = state.df.select(*[column(c).alias(f"_k{i}") for i, c in enumerate(keys.values())], *[v.alias(f"_new_{n}") for n, v in new.items()], F.lit(True).alias("_hit"))
-            found = found.dropDuplicates([f"_k{i}" for i in range(len(keys))])
-            on = [t.df[k] == found[f"_k{i}"] for i, k in enumerate(keys)]
-            joined = t.df.join(found, on, "left")
-            out = [F.when(F.col("_hit"), F.col(f"_new_{f.name}")).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in t.df.schema.fields]
-            self.session.change(t, joined.select(*out))
+                rows = self.rows_of(state, b, t)
+                keys = self.identity(b, t)
+                found = rows.select(*[column(c).alias(f"_k{i}") for i, c in enumerate(keys.values())], *[v.alias(f"_new_{n}") for n, v in new.items()], F.lit(True).alias("_hit"))
+                found = found.dropDuplicates([f"_k{i}" for i in range(len(keys))])
+                joined = t.df.join(found, [t.df[k].eqNullSafe(found[f"_k{i}"]) for i, k in enumerate(keys)], "left")
+                out = [F.when(F.col("_hit"), F.col(f"_new_{f.name}")).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in t.df.schema.fields]
+                self.session.change(t, joined.select(*out))
             df = state.df
-            for n, v in new.items():
-                name = f"{var}·{n}"
-                df = df.withColumn("_v", v).drop(name).withColumnRenamed("_v", name)
+            for k, v in values.items():
+                df = df.withColumn(f"_v_{k}", v)
+            for k in values:
+                name = b.props[k][0]
+                df = df.drop(name).withColumnRenamed(f"_v_{k}", name)
             state = State(df, state.scope)
             compile_ = self.compiler.compiler(state.scope)
         return state
 
+    @staticmethod
+    def identity(b: Binding, t: Table) -> dict[str, str]:
+        """Columns of ``t`` by those of the matched rows that tell which row was matched."""
+        if t.is_node:
+            return {t.key: b.key}
+        props = {f.name: b.props[f.name.lower()][0] for f in t.columns if not isinstance(f.dataType, T.MapType)}
+        return {SRC: b.ends[0], DST: b.ends[1], **props}
+
+    @staticmethod
+    def rows_of(state: State, b: Binding, t: Table) -> DataFrame:
+        return state.df.filter(column(b.kind_col) == F.lit(t.name)) if b.kind_col else state.df
+
     def _delete(self, state: State, detach: bool, names: list[str]) -> State:
         for var in names:
             got = state.scope.find(var)
             if not got or got[1].kind == "value":
                 raise QueryError(f"{var} can't be deleted")
             b = got[1]
-            t = self.session.catalog.need(b.label)
-            if not t.is_node:
-                gone = state.df.select(column(b.key).alias("_a"), column(b.key.rsplit("·", 1)[0] + "·" + DST).alias("_b")).distinct()
-                self.session.change(t, t.df.join(gone, (t.df[SRC] == gone["_a"]) & (t.df[DST] == gone["_b"]), "left_anti"))
+            if b.kind == "rel":
+                for t in [self.session.catalog.need(x, False) for x in b.tables]:
+                    keys = self.identity(b, t)
+                    gone = self.rows_of(state, b, t).select(*[column(c).alias(f"_k{i}") for i, c in enumerate(keys.values())]).distinct()
+                    self.session.change(t, t.df.join(gone, [t.df[k].eqNullSafe(gone[f"_k{i}"]) for i, k in enumerate(keys)], "left_anti"))
                 continue
+            t = self.session.catalog.need(b.label)
             gone = state.df.select(column(b.key).alias("_k")).distinct()
-            for r in self.session.catalog.rels():
+            for r in self.session.catalog.rels(t.name):
                 for end, col in ((r.source, SRC), (r.target, DST)):
                     if end.lower() == t.name.lower():
                         r = self.session.catalog.need(r.name)
@@ -156,6 +173,11 @@ class Mutator:
             wanted = state.df.select(*[v.alias(f"_w_{k}") for k, v in given.items()]).distinct()
             same = [t.df[k].eqNullSafe(wanted[f"_w_{k}"]) for k in given]
             missing = wanted.join(t.df, same, "left_anti")
+            key = f"_w_{t.key}"
+            if not missing.join(t.df, t.df[t.key] == missing[key], "left_semi").isEmpty() or not missing.groupBy(key).count().filter(F.col("count") > 1).isEmpty():
+                raise QueryError(f"{t.name} has a row with this {t.key} and other properties")
+            if not missing.filter(F.col(key).isNull()).isEmpty():
+                raise QueryError(f"a new {t.name} needs {t.key}")
             rows = missing.select(*[(F.col(f"_w_{f.name}") if f.name in given else literal(t.defaults.get(f.name)).col.cast(f.dataType)).alias(f.name) for f in t.df.schema.fields])
             old = t.df.join(wanted, same, "left_semi")
             for part, how in ((rows, "create"), (old, "match")):
@@ -186,7 +208,7 @@ class Mutator:
         missing = wanted.join(t.df, same, "left_anti")
         rows = missing.select(*[(F.col(f"_w_{f.name}") if f.name in (SRC, DST, *given) else literal(t.defaults.get(f.name)).col.cast(f.dataType)).alias(f.name) for f in t.df.schema.fields])
         old = t.df.join(wanted, same, "left_semi")
-        scope = Scope({r.var or "_": Binding("rel", props={f.name.lower(): (f.name, f.dataType) for f in t.columns}, label=t.name, key=SRC)})
+        scope = Scope({r.var or "_": Binding("rel", props={f.name.lower(): (f.name, f.dataType) for f in t.columns}, label=t.name, key=SRC, tables=(t.name,), ends=(SRC, DST))})
         for how in ("create", "match"):
             for _, prop, e in on[how]:
                 col, value = t.column(prop), self.compiler.compiler(scope)(e)

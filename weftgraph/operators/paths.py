@@ -54,6 +54,25 @@ def reachable(edges: DataFrame, sources: DataFrame | None, low: int = 1, high: i
     return out.filter(F.col("_depth") >= max(low, 1)) if low > 1 else out
 
 
+def paths_from(edges: DataFrame, sources: DataFrame, targets: DataFrame, high: int | None = None, direction: str = "->", backwards: bool = False) -> DataFrame:
+    """_src, _dst, _path of every one of ``targets`` (_dst) that is met up to ``high`` hops from one of ``sources`` (_src),
+    itself left out: the least by its keys among equally short ways. Work and rows follow what is reached, never sources x targets.
+    With ``backwards`` the search runs from the paths' ends: ``sources`` are the ends, and paths are told from the beginning."""
+    high = DEFAULT_MAX if high is None else high
+    step = materialize(oriented(edges.select(SRC, DST), direction).filter(F.col(SRC) != F.col(DST)).distinct())
+    hop = step.select(F.col(SRC).alias("_via"), F.col(DST).alias("_to"))
+    level = seen = materialize(sources.select(SRC).distinct().select(SRC, F.col(SRC).alias(DST), F.array(F.col(SRC)).alias("_path")))
+    for _ in range(high):
+        way = F.concat(F.array("_to"), "_path") if backwards else F.concat("_path", F.array("_to"))
+        grown = level.join(hop, level[DST] == hop["_via"]).select(SRC, F.col("_to").alias(DST), way.alias("_path"))
+        level = materialize(grown.groupBy(SRC, DST).agg(F.min("_path").alias("_path")).join(seen, [SRC, DST], "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    out = seen.filter(F.size("_path") > 1).join(targets.select(DST).distinct(), DST, "left_semi")
+    return out.select(F.col(DST).alias(SRC), F.col(SRC).alias(DST), "_path") if backwards else out.select(SRC, DST, "_path")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, high: int | None = None, direction: str = "->") -> DataFrame:
     """``pairs`` (_src, _dst) with ``_path``, the keys of the shortest way with both ends: the least by its keys among
     equally short ones, ``[x]`` from a node to itself, and an empty list where there is none."""

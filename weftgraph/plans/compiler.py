@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..catalog import DST, SRC, Catalog, Table
 from ..functions.typed import Typed, same
-from ..operators.paths import oriented, reachable, shortest_paths
+from ..operators.paths import oriented, paths_from, reachable, shortest_paths
 from .expressions import Compiler, has_aggregate, is_aggregate
 from .parser import Body, NodePattern, Path, QueryError, RelPattern
 
@@ -33,7 +33,25 @@ class Binding:
     col: str | None = None  # of a value
     props: dict[str, tuple[str, T.DataType]] = field(default_factory=dict)
     label: str | None = None
-    key: str | None = None  # column that identifies a node
+    key: str | None = None  # column that identifies a node, and that a matched relationship has
+    tables: tuple[str, ...] = ()  # of a relationship, by its types
+    ends: tuple[str, str] | None = None  # columns of a relationship's stored ends, however it was walked
+    kind_col: str | None = None  # column that names the table, where there are several
+
+    def columns(self) -> list[str]:
+        """All columns that the variable has."""
+        if self.kind == "value":
+            return [self.col]
+        return list(dict.fromkeys([*[c for c, _ in self.props.values()], *([self.key] if self.key else []), *(self.ends or ()), *([self.kind_col] if self.kind_col else [])]))
+
+    def identity(self) -> list[str]:
+        """Columns that tell one from another: a node's key; a relationship's stored ends, type and properties
+        (relationships that agree in all of them can't be told apart by any pattern)."""
+        if self.kind == "value":
+            return [self.col]
+        if self.kind == "node":
+            return [self.key]
+        return [*self.ends, *([self.kind_col] if self.kind_col else []), *[c for c, t in self.props.values() if not isinstance(t, T.MapType)]]
 
 
 class Scope(dict):
@@ -155,45 +173,68 @@ class QueryCompiler:
     # -- MATCH -------------------------------------------------------------------
     def match(self, state: State, paths: list[Path], where: tuple | None, optional: bool = False) -> State:
         if not optional:
-            return self.filtered(self.patterns(state, paths), where)
-        used = {n.var for p in paths for n in p.nodes if n.var and state.scope.find(n.var)} | _variables(where)
-        kept = Scope({k: b for k, b in state.scope.items() if any(k.lower() == u.lower() for u in used)})
-        cols = [c for b in kept.values() for c in ([b.col] if b.kind == "value" else [x for x, _ in b.props.values()] + ([b.key] if b.key else []))]
-        keys = [c for b in kept.values() for c in ([b.col] if b.kind == "value" else [b.key] if b.key else [x for x, _ in b.props.values()])]
-        cols, keys = list(dict.fromkeys(cols)), list(dict.fromkeys(keys))
-        base = State(state.df.select(*map(column, cols)).dropDuplicates(keys), kept) if keys else self.start()
-        sub = self.filtered(self.patterns(base, paths), where)
+            pending = _conjuncts(where)
+            return self.filtered(self.patterns(state, paths, pending), pending)
+        base, keys = self._outer(state, paths, where)
+        kept = base.scope
+        pending = _conjuncts(where)
+        sub = self.filtered(self.patterns(base, paths, pending), pending)
         new = Scope({k: b for k, b in sub.scope.items() if k not in kept})
-        fresh_cols = list(dict.fromkeys(c for b in new.values() for c in ([b.col] if b.kind == "value" else [x for x, _ in b.props.values()] + ([b.key] if b.key else []))))
+        fresh_cols = list(dict.fromkeys(c for b in new.values() for c in b.columns()))
         renamed = {k: self.fresh("o") for k in keys}
         right = sub.df.select(*map(column, fresh_cols), *[column(k).alias(r) for k, r in renamed.items()])
         on = [column(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
         df = state.df.join(right, reduce(lambda a, b: a & b, on) if on else F.lit(True), "left").drop(*renamed.values())
         return State(df, Scope({**state.scope, **new}))
 
-    def filtered(self, state: State, where: tuple | None) -> State:
-        for e in _conjuncts(where):
+    def filtered(self, state: State, where: list[tuple] | tuple | None) -> State:
+        for e in where if isinstance(where, list) else _conjuncts(where):
             negated, inner = (True, e[1]) if e[0] == "not" else (False, e)
             if inner[0] == "exists":
                 state = self.semi(state, inner[1], inner[2], negated)
-            elif inner[0] == "cmp" and any(x[0] == "count" and isinstance(x[1], list) and x[1] and isinstance(x[1][0], Path) for x in inner[2:]):
-                name = self.fresh("c")
-                counted = next(x for x in inner[2:] if x[0] == "count")
-                state = self.counted(state, counted, name)
-                put = ("cmp", inner[1], *[("var", name) if x is counted else x for x in inner[2:]])
-                state = State(state.df.filter(self.compiler(state.scope).boolean(("not", put) if negated else put)), Scope({k: v for k, v in state.scope.items() if k != name}))
             else:
+                scope = state.scope
+                state, e = self.subqueries(state, e)
+                state = State(state.df.filter(self.compiler(state.scope).boolean(e)), scope)
+        return state
+
+    def subqueries(self, state: State, e: object) -> tuple[State, object]:
+        """``e`` with the EXISTS { } and COUNT { } in it put into value variables, so they may stand anywhere in an expression."""
+        if _is_subquery(e):
+            name = self.fresh("c")
+            state = self.counted(state, e, name)
+            return state, ("cmp", ">", ("var", name), ("lit", 0)) if e[0] == "exists" else ("var", name)
+        if isinstance(e, (tuple, list)):
+            out = []
+            for x in e:
+                state, x = self.subqueries(state, x)
+                out.append(x)
+            return state, type(e)(out)
+        return state, e
+
+    def early(self, state: State, pending: list[tuple]) -> State:
+        """Apply those conjuncts whose variables are all bound, before any further join or search; subqueries wait."""
+        for e in list(pending):
+            used = _variables(e)
+            if used and not _has_subquery(e) and all(state.scope.find(x) for x in used):
+                pending.remove(e)
                 state = State(state.df.filter(self.compiler(state.scope).boolean(e)), state.scope)
         return state
 
-    def _sub(self, state: State, paths: list[Path], where: tuple | None) -> tuple[State, list[str]]:
-        used = {n.var for p in paths for n in p.nodes if n.var and state.scope.find(n.var)} | _variables(where)
+    def _outer(self, state: State, paths: list[Path], where: tuple | None) -> tuple[State, list[str]]:
+        """The distinct values of the outer variables that a subquery uses, and the columns that tell them apart."""
+        used = {x for x in _variables(paths) | _variables(where) if state.scope.find(x)}
         kept = Scope({k: b for k, b in state.scope.items() if any(k.lower() == u.lower() for u in used)})
-        if not kept:
+        keys = list(dict.fromkeys(c for b in kept.values() for c in b.identity()))
+        cols = list(dict.fromkeys(c for b in kept.values() for c in b.columns()))
+        return (State(state.df.select(*map(column, cols)).dropDuplicates(keys), kept) if keys else self.start()), keys
+
+    def _sub(self, state: State, paths: list[Path], where: tuple | None) -> tuple[State, list[str]]:
+        base, keys = self._outer(state, paths, where)
+        if not keys:
             raise QueryError("a subquery needs a variable from outside")
-        keys = list(dict.fromkeys(b.col if b.kind == "value" else b.key for b in kept.values()))
-        cols = list(dict.fromkeys(c for b in kept.values() for c in ([b.col] if b.kind == "value" else [x for x, _ in b.props.values()] + [b.key])))
-        return self.filtered(self.patterns(State(state.df.select(*map(column, cols)).dropDuplicates(keys), kept), paths), where), keys
+        pending = _conjuncts(where)
+        return self.filtered(self.patterns(base, paths, pending), pending), keys
 
     def semi(self, state: State, paths: list[Path], where: tuple | None, negated: bool) -> State:
         sub, keys = self._sub(state, paths, where)
@@ -211,16 +252,19 @@ class QueryCompiler:
         df = state.df.join(right, on, "left").withColumn(col, F.coalesce(F.col(col), F.lit(0).cast("bigint"))).drop(*names.values())
         return State(df, Scope({**state.scope, name: Binding("value", T.LongType(), col)}))
 
-    def patterns(self, state: State, paths: list[Path]) -> State:
+    def patterns(self, state: State, paths: list[Path], pending: list[tuple] | None = None) -> State:
+        """``pending`` conjuncts that were applied on the way are taken out of it."""
         # a path that shares a variable with what is bound comes first, so that it is joined and not crossed
-        left = list(paths)
+        left, pending = list(paths), [] if pending is None else pending
         while left:
             k = next((i for i, p in enumerate(left) if any(n.var and state.scope.find(n.var) for n in p.nodes)), 0)
-            state = self.path(state, left.pop(k))
+            state = self.early(self.path(state, left.pop(k), pending), pending)
         return state
 
     def node_table(self, n: NodePattern, ends: list[str]) -> Table:
         if n.labels:
+            for label in n.labels[1:]:  # the first names the table; the others have to exist
+                self.catalog.need(label, True)
             return self.catalog.need(n.labels[0], True)
         if len(set(x.lower() for x in ends)) == 1:
             return self.catalog.need(ends[0], True)
@@ -246,7 +290,7 @@ class QueryCompiler:
             return tables
         return [self.catalog.need(x, False) for x in r.types]
 
-    def path(self, state: State, p: Path) -> State:
+    def path(self, state: State, p: Path, pending: list[tuple]) -> State:
         names = [n.var or self.fresh("a") for n in p.nodes]
         hints: list[list[str]] = [[] for _ in names]
         rels = [self.ends_of(r) for r in p.rels]
@@ -259,15 +303,15 @@ class QueryCompiler:
                     hints[i].append(b)
                     hints[i + 1].append(a)
         if p.shortest:
-            return self.shortest(state, p, names, hints, rels)
+            return self.shortest(state, p, names, hints, rels, pending)
         first = next((i for i, n in enumerate(names) if state.scope.find(n)), 0)
-        state = self.bind_node(state, p.nodes[first], names[first], hints[first])
+        state = self.early(self.bind_node(state, p.nodes[first], names[first], hints[first]), pending)
         steps = [(i, i + 1, p.rels[i].direction) for i in range(first, len(p.rels))]
         turn = {"->": "<-", "<-": "->", "--": "--"}
         steps += [(i + 1, i, turn[p.rels[i].direction]) for i in range(first - 1, -1, -1)]
         for a, b, direction in steps:
             k = min(a, b)
-            state = self.hop(state, names[a], p.nodes[b], names[b], p.rels[k], rels[k], direction, hints[b])
+            state = self.early(self.hop(state, names[a], p.nodes[b], names[b], p.rels[k], rels[k], direction, hints[b]), pending)
         if p.var:
             keys = [state.scope.find(n)[1].key for n in names]
             kind = state.df.schema[keys[0]].dataType
@@ -293,15 +337,17 @@ class QueryCompiler:
         for t in tables:
             for f in t.columns:
                 fields.setdefault(f.name.lower(), f)
-        frames = []
+        frames, kind = [], f"{name}{SEP}_type" if len({t.name for t in tables}) > 1 else None
+        ends = (f"{name}{SEP}_from", f"{name}{SEP}_to")
         for t in tables:
             cols = [(column(t.column(k).name) if t.column(k) else F.lit(None)).cast(f.dataType).alias(f"{name}{SEP}{f.name}") for k, f in fields.items()]
+            cols += [F.col(SRC).alias(ends[0]), F.col(DST).alias(ends[1])] + ([F.lit(t.name).alias(kind)] if kind else [])
             df = t.df.select(SRC, DST, *cols)
-            frames.append(oriented(df, direction, *[f"`{name}{SEP}{f.name}`" for f in fields.values()]))
+            frames.append(oriented(df, direction, *[f"`{c}`" for c in df.columns[2:]]))
         df = reduce(lambda a, b: a.unionByName(b), frames)
         near, far = f"{name}{SEP}{SRC}", f"{name}{SEP}{DST}"
         df = df.withColumnsRenamed({SRC: near, DST: far})
-        b = Binding("rel", props={k: (f"{name}{SEP}{f.name}", f.dataType) for k, f in fields.items()}, label=tables[0].name, key=near)
+        b = Binding("rel", props={k: (f"{name}{SEP}{f.name}", f.dataType) for k, f in fields.items()}, label=tables[0].name, key=near, tables=tuple(dict.fromkeys(t.name for t in tables)), ends=ends, kind_col=kind)
         return df, b, near, far
 
     def hop(self, state: State, at: str, n: NodePattern, name: str, r: RelPattern, tables: list[Table], direction: str, ends: list[str]) -> State:
@@ -335,20 +381,40 @@ class QueryCompiler:
             out = self.inline(State(out, scope), name, n.props, out)
         return State(out, scope)
 
-    def shortest(self, state: State, p: Path, names: list[str], hints: list[list[str]], rels: list[list[Table]]) -> State:
+    def shortest(self, state: State, p: Path, names: list[str], hints: list[list[str]], rels: list[list[Table]], pending: list[tuple]) -> State:
+        """Where both ends are bound, their pairs are searched. Else the search runs from the sources that are left after
+        their conditions, and what it reaches is joined with the targets: no pair is made that has no path."""
         if len(p.rels) != 1:
             raise QueryError("shortestPath takes one relationship")
-        state = self.bind_node(state, p.nodes[0], names[0], hints[0])
-        state = self.bind_node(state, p.nodes[1], names[1], hints[1])
-        a, b = (state.scope.find(n)[1].key for n in names)
         edges = reduce(lambda x, y: x.unionByName(y), [t.df.select(SRC, DST) for t in rels[0]])
-        high = p.rels[0].hops[1] if p.rels[0].hops else 1
-        found = shortest_paths(edges, state.df.select(column(a).alias(SRC), column(b).alias(DST)), high, p.rels[0].direction)
+        high, direction = p.rels[0].hops[1] if p.rels[0].hops else 1, p.rels[0].direction
+        known = state.scope.find(names[1])
+        if known and state.scope.find(names[0]) or _uses_outside(p.nodes[1].props):
+            state = self.early(self.bind_node(state, p.nodes[0], names[0], hints[0]), pending)
+            state = self.early(self.bind_node(state, p.nodes[1], names[1], hints[1]), pending)
+            a, b = (state.scope.find(n)[1].key for n in names)
+            found = shortest_paths(edges, state.df.select(column(a).alias(SRC), column(b).alias(DST)), high, direction)
+            found = found.filter(F.size("_path") > 1)
+            other = None
+        else:
+            near, far = (0, 1) if not known else (1, 0)  # the search starts from the end that is bound
+            state = self.early(self.bind_node(state, p.nodes[near], names[near], hints[near]), pending)
+            other = self.early(self.bind_node(self.start(), p.nodes[far], names[far], hints[far]), pending)
+            turn = {"->": "<-", "<-": "->", "--": "--"}
+            sources = state.df.select(column(state.scope.find(names[near])[1].key).alias(SRC))
+            targets = other.df.select(column(other.scope.find(names[far])[1].key).alias(DST))
+            found = paths_from(edges, sources, targets, high, direction if near == 0 else turn[direction], backwards=near == 1)
+            a, b = ((state if i == near else other).scope.find(names[i])[1].key for i in (0, 1))
         col = self.fresh("p")
         kind = found.schema["_path"].dataType
-        found = found.filter(F.size("_path") > 1).select(F.col(SRC).alias("_f"), F.col(DST).alias("_t"), F.col("_path").alias(col))
-        df = state.df.join(found, (column(a) == F.col("_f")) & (column(b) == F.col("_t"))).drop("_f", "_t")
-        scope = Scope(state.scope)
+        found = found.select(F.col(SRC).alias("_f"), F.col(DST).alias("_t"), F.col("_path").alias(col))
+        if other is None:
+            df, scope = state.df.join(found, (column(a) == F.col("_f")) & (column(b) == F.col("_t"))), Scope(state.scope)
+        elif a in state.df.columns:
+            df, scope = state.df.join(found, column(a) == F.col("_f")).join(other.df, F.col("_t") == column(b)), Scope({**state.scope, **other.scope})
+        else:
+            df, scope = state.df.join(found, column(b) == F.col("_t")).join(other.df, F.col("_f") == column(a)), Scope({**state.scope, **other.scope})
+        df = df.drop("_f", "_t")
         if p.var:
             scope[p.var] = Binding("value", kind, col)
         return State(df, scope)
@@ -359,11 +425,9 @@ class QueryCompiler:
         if body.star:
             items += [(("var", k), k) for k in state.scope]
         for e, alias in body.items:
-            if e[0] == "count" and len(e) == 3 and isinstance(e[1], list) and e[1] and isinstance(e[1][0], Path):
-                name = self.fresh("c")
-                state = self.counted(state, e, name)
-                e = ("var", name)
-                alias = alias or "count"
+            if _has_subquery(e):
+                alias = alias or (e[0] if _is_subquery(e) else "expr")
+                state, e = self.subqueries(state, e)
             items.append((e, alias or _default_name(e)))
         if final and not items:
             raise QueryError("RETURN * needs a variable")
@@ -386,7 +450,7 @@ class QueryCompiler:
         for alias, x in out:
             if x is None:
                 b = bindings[alias]
-                cols += [c for c, _ in b.props.values()] + ([b.key] if b.key and b.key not in [c for c, _ in b.props.values()] else [])
+                cols += b.columns()
                 scope[alias] = b
             else:
                 name = self.fresh("w")
@@ -459,11 +523,21 @@ def _conjuncts(e: tuple | None) -> list[tuple]:
 def _variables(e: object) -> set[str]:
     if isinstance(e, tuple) and len(e) == 2 and e[0] == "var":
         return {e[1]}
+    if isinstance(e, Path):
+        return {x.var for x in (*e.nodes, *e.rels) if x.var} | _variables([v for x in (*e.nodes, *e.rels) for _, v in x.props])
     if isinstance(e, (tuple, list)):
         return set().union(*map(_variables, e)) if e else set()
     return set()
 
 
+def _is_subquery(e: object) -> bool:
+    return isinstance(e, tuple) and len(e) == 3 and e[0] in ("exists", "count") and isinstance(e[1], list) and bool(e[1]) and isinstance(e[1][0], Path)
+
+
+def _has_subquery(e: object) -> bool:
+    return _is_subquery(e) or isinstance(e, (tuple, list)) and any(map(_has_subquery, e))
+
+
 def _uses_outside(props: list[tuple[str, tuple]]) -> bool:
     return any(_variables(v) for _, v in props)
 

@@ -29,9 +29,12 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), a temporary one where none is named."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where none is named, a temporary one in
+    local mode; on a cluster executors would not see the driver's, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -42,7 +45,28 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``frames``; they and what is derived from them can't be read any more."""
+    for frame in frames:
+        path = getattr(frame, "_weft_path", None)
+        if path:
+            delete_path(frame.sparkSession, path)
+            frame._weft_path = None
+
+
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished (``_SUCCESS``) output folders under ``path``; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(where)]
+    return [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
 
 
 _written: list[tuple[SparkSession, str]] = []

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import DST, SRC, Catalog, Table
+from .catalog import DST, SRC, Catalog, Lazy, Table
 from .functions import scalar
 from .functions.typed import literal
 from .operators import algo, fts, vector
@@ -62,6 +62,28 @@ class GraphSession:
         self.catalog.put(Table(name, df, source=a.name, target=b.name))
         return self
 
+    def lazy_node_table(self, name: str, load: Callable[[], DataFrame], key: str) -> GraphSession:
+        """Like ``node_table``, with the frame made when it is first used."""
+        self.catalog.put(Lazy(name, lambda: Table(name, load(), key=key), key=key))
+        return self
+
+    def lazy_rel_table(self, name: str, load: Callable[[], DataFrame], source: str, target: str, kinds: tuple[str, str] = ("bigint", "bigint")) -> GraphSession:
+        """Like ``rel_table``, with the frame made when it is first used; its first two columns are the ends, cast to ``kinds``."""
+
+        def table() -> Table:
+            df = load()
+            ends = [F.col(df.columns[i]).cast(kinds[i]).alias(c) for i, c in enumerate((SRC, DST))]
+            return Table(name, df.select(*ends, *df.columns[2:]), source=source, target=target)
+
+        self.catalog.put(Lazy(name, table, source=source, target=target))
+        return self
+
+    def fork(self) -> GraphSession:
+        """A session of its own on the same tables: what it changes, the other doesn't see."""
+        out = GraphSession(self.spark, self.env)
+        out.catalog.tables, out.macros = dict(self.catalog.tables), dict(self.macros)
+        return out
+
     def change(self, table: Table, df: DataFrame) -> None:
         """Swap a table's rows. After a number of changes the lineage is cut."""
         n = self._changes.get(table.name.lower(), 0) + 1
@@ -192,7 +214,7 @@ class GraphSession:
             self._new(args[0], False)
             del self.catalog.tables[name.lower()]
             self.catalog.put(replace(t, name=args[0]))
-            for r in self.catalog.rels():
+            for r in self.catalog.rels(name):
                 ends = {k: args[0] for k in ("source", "target") if getattr(r, k).lower() == name.lower()}
                 if ends:
                     self.catalog.put(replace(r, **ends))
@@ -231,7 +253,7 @@ class GraphSession:
         self.macros[name.lower()] = (args, body)
 
     def _do_checkpoint(self, params, env):
-        for t in list(self.catalog.tables.values()):
+        for t in self.catalog.all():
             self.catalog.put(t.with_df(materialize(t.df)))
 
     def _do_begin(self, params, env):
@@ -253,7 +275,7 @@ class GraphSession:
     def save(self, path: str) -> None:
         """A Parquet folder for each table and ``catalog`` (JSON lines) in ``path``, on any file system that Spark writes."""
         rows = []
-        for t in self.catalog.tables.values():
+        for t in self.catalog.all():
             t.df.write.mode("overwrite").parquet(f"{path}/{t.name}")
             rows.append(json.dumps({"name": t.name, "key": t.key, "source": t.source, "target": t.target, "defaults": t.defaults, "comment": t.comment, "schema": json.loads(t.df.schema.json())}))
         self.spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_catalog")
@@ -274,7 +296,7 @@ class GraphSession:
         return apply(self, batch)
 
     def tables(self) -> list[dict]:
-        return [{"name": t.name, "kind": "node" if t.is_node else "rel", "columns": [(f.name, type_name(f.dataType)) for f in t.columns]} for t in self.catalog.tables.values()]
+        return [{"name": t.name, "kind": "node" if t.is_node else "rel", "columns": [(f.name, type_name(f.dataType)) for f in t.columns]} for t in self.catalog.all()]
 
 
 class QueryResult:

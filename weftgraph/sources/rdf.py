@@ -6,7 +6,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import DST, SRC, Table
@@ -29,6 +29,20 @@ def _unescape(text: str) -> str:
     return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(m[3], m[3]), text, flags=re.S)
 
 
+def _unescaped(text: Column) -> Column:
+    """``_unescape`` as a Spark expression, in one pass: the text is split into escapes and what stands between them."""
+    code = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
+    signs = F.create_map(*[F.lit(x) for x in ("n", "\n", "t", "\t", "r", "\r", "b", "\b", "f", "\f")])
+
+    def one(x: Column) -> Column:
+        hexed = x.rlike(r"^\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})$")
+        sign = F.substring(x, 2, 1)
+        return F.when(~F.startswith(x, F.lit("\\")), x).when(hexed, code(F.substring(x, 3, 8))).otherwise(F.coalesce(F.try_element_at(signs, sign), sign))
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)[^\\]+|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\."), 0)
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def turtle(text: str) -> list[tuple]:
     """Triples of a Turtle text."""
     tokens, at = [], 0
@@ -180,10 +194,7 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
         part = lambda i: F.nullif(F.regexp_extract("value", _LINE, i), F.lit(""))
         bare = lambda c: F.regexp_replace(c, r"^<|>$", "")
         checked = F.when(F.col("value").rlike(_LINE), bare(part(1))).otherwise(F.raise_error(F.concat(F.lit("no triple: "), "value")))
-        text = F.regexp_extract("value", _LINE, 4)
-        plain = text
-        for a, b in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\\\", "\\\\")):
-            plain = F.regexp_replace(plain, a, b)
+        plain = _unescaped(F.regexp_extract("value", _LINE, 4))
         dt = part(5)
         return lines.select(checked.alias("s"), part(2).alias("p"), bare(part(3)).alias("o_uri"), F.when(part(3).isNull(), plain).alias("o_lit"), F.when(dt != XSD + "string", dt).alias("o_dt"), part(6).alias("o_lang"))
     read = rdf_xml if kind in ("rdf", "owl", "xml") else turtle

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import DST, SRC, Table
-from ..functions.typed import literal
 from ..plans.parser import QueryError
+from ..runtime import child_folders
 
 
 @dataclass(frozen=True)
@@ -107,8 +107,8 @@ class DeltaBatch:
         return sorted({o.type for o in self.ops if hasattr(o, "type")})
 
 
-def merge(table: DataFrame, keys: list[str], changes: DataFrame) -> tuple[DataFrame, dict]:
-    """Fold ``changes`` into ``table``.
+def merge(table: DataFrame, keys: list[str], changes: DataFrame, counts: bool = True) -> tuple[DataFrame, dict]:
+    """Fold ``changes`` into ``table``. With ``counts`` a job counts what was created, updated and deleted.
 
     ``changes`` has the keys, ``_op`` ("upsert" or "delete"), ``_at`` (their order), and for each other column c
     of the table ``c`` and ``_has_c`` (whether the change names it). Changes of a key are folded first: after its
@@ -134,6 +134,8 @@ def merge(table: DataFrame, keys: list[str], changes: DataFrame) -> tuple[DataFr
         old = F.when(F.col("_dead").isNull(), F.col(f"`{c}`"))
         cols.append(F.when(~hit, F.col(f"`{c}`")).when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.v")).otherwise(old).alias(c))
     out = both.filter(keep).select(*cols).select(*table.columns)
+    if not counts:
+        return out, {}
     n = both.filter(hit).agg(
         F.count(F.when(~had & (F.col("_all") > 0), 1)).alias("created"),
         F.count(F.when(had & (F.col("_ups") > 0), 1)).alias("updated"),
@@ -175,6 +177,25 @@ def apply(session, batch: DeltaBatch) -> dict:
             t = session.catalog.need(op.type, False)
             edges.setdefault(t.name, []).append((at, "upsert" if isinstance(op, UpsertEdge) else "delete", (op.source, op.target), getattr(op, "props", {})))
     stats = {f"{k}_{d}": 0 for k in ("nodes", "edges") for d in ("created", "updated", "deleted")}
+    # the last delete of each node of the batch, by table and key
+    gone: dict[str, dict[str, int]] = {}
+    for name, rows in nodes.items():
+        for at, op, key, _ in rows:
+            if op == "delete":
+                gone.setdefault(name.lower(), {})[key[0]] = at
+    for r in session.catalog.rels():
+        ends = [(i, gone[x.lower()], col) for i, (x, col) in enumerate(((r.source, SRC), (r.target, DST))) if x.lower() in gone]
+        if not ends:
+            continue
+        # edges from before the batch go; those that the batch makes before the delete are deleted with it, later ones stay
+        t = session.catalog.need(r.name)
+        kept = t.df
+        for _, dead, col in ends:
+            ids = session.spark.createDataFrame([(k,) for k in dead], "_k string").select(F.col("_k").cast(t.df.schema[col].dataType).alias("_k")).distinct()
+            kept = kept.join(ids, kept[col] == ids["_k"], "left_anti")
+        session.change(t, kept)
+        mine = edges.get(t.name, [])
+        mine += [(dead[key[i]], "delete", key, {}) for i, dead, _ in ends for key in {row[2] for row in mine} if key[i] in dead]
     for kind, groups in (("edges", edges), ("nodes", nodes)):
         for name, rows in groups.items():
             t = session.catalog.need(name)
@@ -183,31 +204,46 @@ def apply(session, batch: DeltaBatch) -> dict:
             session.change(t, out)
             for d, v in n.items():
                 stats[f"{kind}_{d}"] += v
-            gone = [r for r in rows if r[1] == "delete"]
-            if kind == "nodes" and gone:
-                ids = session.spark.createDataFrame([(r[2][0],) for r in gone], "_k string").select(F.col("_k").cast(keys[0][1]).alias("_k")).distinct()
-                for r in session.catalog.rels():
-                    for end, col in ((r.source, SRC), (r.target, DST)):
-                        if end.lower() == name.lower() and r.name not in edges:
-                            r = session.catalog.need(r.name)
-                            session.change(r, r.df.join(ids, r.df[col] == ids["_k"], "left_anti"))
     return {**stats, "total_deltas": len(batch.ops), "elapsed": time.time() - began}
 
 
+#: Batches after which the log of a streamed table is folded into a new version of all its rows.
+COMPACT_EVERY = 16
+
+
 def stream_into(session, table: str, stream: DataFrame, checkpoint: str):
     """Upserts every micro-batch of ``stream`` (columns of the table; a row's columns that are NULL stay as they
     are) until the source has no more. Of a key's rows in a batch the last by ``_at`` (or any) counts.
-    The table's rows are written to a new version after each batch, so a failed query goes on from its checkpoint."""
-    from ..runtime import materialize
+
+    A batch is written to a log beside the checkpoint, under its number, so its cost follows the batch and not the table; the table
+    is its last whole version with the log folded in. After ``COMPACT_EVERY`` batches a new whole version is written. Called again with the
+    same checkpoint, also in a new session, the table takes up the versions and the log; a batch that is run again replaces its own entry."""
+    spark, root = session.spark, f"{checkpoint.rstrip('/')}/weft-table-{table.lower()}"
+    begin = session.catalog.need(table)
+    keys = [begin.key] if begin.is_node else [SRC, DST]
+    rest = [c for c in begin.df.columns if c not in keys]
+    kinds = {f.name: f.dataType for f in begin.df.schema.fields}
+
+    def numbers(kind: str) -> list[int]:
+        return sorted(int(n) for n in child_folders(spark, f"{root}/{kind}") if n.isdigit())
+
+    def current() -> DataFrame:
+        whole = numbers("whole")
+        df = spark.read.schema(begin.df.schema).parquet(f"{root}/whole/{whole[-1]}") if whole else begin.df
+        log = [f"{root}/log/{n}" for n in numbers("log") if not whole or n > whole[-1]]
+        return merge(df, keys, spark.read.parquet(*log), counts=False)[0] if log else df
 
     def fold(batch: DataFrame, number: int) -> None:
-        t = session.catalog.need(table)
-        keys = [t.key] if t.is_node else [SRC, DST]
-        rest = [c for c in t.df.columns if c not in keys]
         have = {c.lower(): c for c in batch.columns}
         at = F.col("_at") if "_at" in batch.columns else F.monotonically_increasing_id()
-        rows = batch.select(*[F.col(have[k.lower()]).cast(t.df.schema[k].dataType).alias(k) for k in keys], F.lit("upsert").alias("_op"), at.cast("long").alias("_at"), *[x for c in rest for x in ((F.col(have[c.lower()]).cast(t.df.schema[c].dataType) if c.lower() in have else literal(None).col.cast(t.df.schema[c].dataType)).alias(c), (F.col(have[c.lower()]).isNotNull() if c.lower() in have else F.lit(False)).alias(f"_has_{c}"))])
-        out, _ = merge(t.df, keys, rows)
-        session.catalog.put(t.with_df(materialize(out)))
-
+        given = lambda c: F.col(f"`{have[c.lower()]}`").cast(kinds[c])
+        rows = batch.select(*[given(k).alias(k) for k in keys], at.cast("long").alias("_n"), *[(given(c) if c.lower() in have else F.lit(None).cast(kinds[c])).alias(c) for c in rest])
+        last = rows.groupBy(*keys).agg(*[F.max(F.when(F.col(f"`{c}`").isNotNull(), F.struct("_n", F.col(f"`{c}`").alias("v")))).alias(c) for c in rest], F.count("*").alias("_rows"))
+        log = last.select(*keys, F.lit("upsert").alias("_op"), F.lit(number).cast("long").alias("_at"), *[x for c in rest for x in (F.col(f"`{c}`.v").alias(c), F.col(f"`{c}`").isNotNull().alias(f"_has_{c}"))])
+        log.write.mode("overwrite").parquet(f"{root}/log/{number}")
+        if (number + 1) % COMPACT_EVERY == 0:
+            current().write.mode("overwrite").parquet(f"{root}/whole/{number}")
+        session.catalog.put(session.catalog.need(table).with_df(current()))
+
+    session.catalog.put(begin.with_df(current()))
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
