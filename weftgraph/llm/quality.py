@@ -25,6 +25,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def plain(array: Column) -> Column:
+    """``array`` taken apart once: reading an element of a stored array makes a new string each time."""
+    return F.transform(array, lambda x: x)
+
+
 def _signs(text: Column) -> Column:
     """What ``text`` has of ``CLASSES``: one scan of the whole text, after which each class is counted on the few signs left."""
     kept = "".join(p.removesuffix("+").removeprefix("[").removesuffix("]") for p in CLASSES.values())
@@ -40,16 +45,24 @@ def _windows(w: Column) -> Column:
     """Hashes of the 3-word windows of ``w``; null under four words, which can't hold one twice."""
     # bound, so that ``w`` is evaluated once even where a filter on the results is pushed below it
     hashes = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 3), lambda i: F.xxhash64(v[i], v[i + 1], v[i + 2]))
-    return F.when(F.size(w) >= 4, let(w, hashes))
+    return F.when(F.size(w) >= 4, let(plain(w), hashes))
+
 
+#: Repeated hashes up to which they are looked up one by one; texts with more of them sort all their windows.
+LOOKED_UP = 256
 
-def repeat_words(w: Column, hashes: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more; ``hashes`` are those of ``_windows``.
 
-    Windows with distinct hashes are distinct, which settles most texts. Else the windows are sorted by hash, then
-    by their words, and neighbours that agree in all are found twice.
+def repeat_words(w: Column, hashes: Column, in_order: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more; ``hashes`` are those of ``_windows`` and ``in_order`` the same, sorted.
+
+    Windows with distinct hashes are distinct, which settles most windows. Those whose hash is met again are
+    sorted by their words (which hold no space, so joining them by one is exact), and neighbours that agree are found twice.
     """
 
+    def candidates(dups: Column) -> Column:
+        met = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.array_contains(dups, h), i)))
+        return F.when(F.size(dups) <= LOOKED_UP, met).otherwise(F.sequence(F.lit(0), F.size(hashes) - 1))
+
     def positions(s: Column) -> Column:
         same = lambda k, j: F.coalesce(s[k].x == F.get(s, j).x, F.lit(False))
         hit = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
@@ -59,10 +72,8 @@ def repeat_words(w: Column, hashes: Column) -> Column:
         gaps = F.transform(p, lambda x, j: F.when(j + 1 < F.size(p), F.least(F.lit(3), F.get(p, j + 1) - x)).otherwise(3))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    windows = let(
-        F.struct(w.alias("w"), hashes.alias("h")),
-        lambda b: F.transform(F.sequence(F.lit(0), F.size(b.w) - 3), lambda i: F.struct(F.struct(b.h[i], b.w[i], b.w[i + 1], b.w[i + 2]).alias("x"), i.alias("i"))),
-    )
+    dups = let(in_order, lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+    windows = let(plain(w), lambda v: F.transform(let(dups, candidates), lambda i: F.struct(F.concat_ws(" ", v[i], v[i + 1], v[i + 2]).alias("x"), i.alias("i"))))
     slow = let(let(F.sort_array(windows), positions), covered)
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), slow).otherwise(0).cast("long")
 
@@ -79,14 +90,15 @@ def base_stats(docs: DataFrame) -> DataFrame:
     # each step is a projection of its own, so that what a step uses twice is evaluated once
     split = docs.select("doc_id", "lang", words_of(F.col("text")).alias("w"), F.split(text, "\n").alias("lines"), _signs(text).alias("signs"), F.char_length(text).cast("long").alias("n_chars"))
     hashed = split.withColumn("h", _windows(F.col("w")))
-    return hashed.select(
+    ordered = hashed.withColumn("hs", F.sort_array("h"))
+    return ordered.select(
         "doc_id",
         "lang",
         "w",
         "n_chars",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        repeat_words(F.col("w"), F.col("h")).alias("n_repeat_words"),
+        repeat_words(F.col("w"), F.col("h"), F.col("hs")).alias("n_repeat_words"),
         dup_lines(F.col("lines")).alias("n_dup_lines"),
         *[_matched(F.col("signs"), p).cast("long").alias(k) for k, p in CLASSES.items()],
     )
@@ -158,7 +170,7 @@ def quality_rules(
     rest = F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.lit(0))
     p_chars = F.array(*[F.col(k) / total for k in CLASSES], (F.col("n_chars") - F.col("word_chars")) / total, rest / total)
 
-    s = s.withColumn("hits", F.filter("w", lambda x: F.array_contains("common", x)))
+    s = s.withColumn("hits", let(plain(F.col("common")), lambda c: F.filter("w", lambda x: F.array_contains(c, x))))
     n = F.size("hits")
     shares = let(F.col("hits"), lambda h: F.transform("common", lambda c: (F.size(h) - F.size(F.array_remove(h, c))).cast("double") / F.size(h)))
     js_common = F.when(n >= min_common, js_distance(shares, F.col("q_common")))
