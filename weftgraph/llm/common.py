@@ -109,6 +109,9 @@ _LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_AS_IS = np.where(_SPACE, np.uint64(0), _BYTE)
+_LOWERED = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
+
 #: Powers up to the size of a slice, made once; larger texts make their own.
 KEPT_POWERS = 1 << 20
 _powers: dict[int, np.ndarray] = {}
@@ -139,14 +142,16 @@ class Words:
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.data, self.offsets = data, np.concatenate([[0], np.cumsum(lengths)])
         space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
         self.starts, self.ends = edge[::2], edge[1::2]
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        table = _BYTE[_LOWER] if lower else _BYTE
-        scale = powers(len(data))
-        np.cumsum(table[data] * scale, out=prefix[1:])
-        down = powers(len(data), _INVERSE)
-        self.hashes = mix64((prefix[self.ends] - prefix[self.starts]) * down[self.starts])
+        if len(self.starts):
+            value = (_LOWERED if lower else _AS_IS)[data]  # white space counts nothing, so a word's sum may run up to the next word
+            value *= powers(len(data))
+            self.hashes = mix64(np.add.reduceat(value, self.starts) * powers(len(data), _INVERSE)[self.starts])
+        else:
+            self.hashes = np.zeros(0, np.uint64)
         self.bounds = np.searchsorted(self.starts, self.offsets)
 
 
