@@ -8,7 +8,7 @@ import pytest
 from weftgraph import workload
 
 DATA = "/root/testdata/sf0.001"
-SOME = ("scan_filter_project", "expr_case", "fn_lpad", "fn_json_extract", "agg_distinct", "join_3hop", "join_cycle", "join_optional", "varlen_1_3", "sort_nulls", "algo_pagerank", "algo_wcc", "vector_l2", "fts_bm25", "dml_set", "delta_merge", "rdf_infer")
+SOME = ("scan_filter_project", "expr_case", "fn_lpad", "fn_json_extract", "agg_distinct", "join_3hop", "join_cycle", "join_optional", "varlen_1_3", "sort_nulls", "algo_pagerank", "algo_wcc", "vector_l2", "fts_bm25", "dml_set", "delta_merge", "rdf_infer", "rdf_load", "rdf_escapes", "rdf_types", "rdf_stats", "join_two_types", "optional_rel_var", "exists_rel_var", "count_rel_var", "exists_or", "dml_delete", "dml_delete_left", "dml_delete_both", "dml_delete_parallel", "dml_set_left", "dml_set_types", "dml_merge_rel", "apply_delta_nodes", "apply_delta_edges", "rows_api", "save_open", "stream_into", "copy_arrow", "ddl_drop", "vector_each", "vector_call", "fts_call", "call_pagerank")
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_every_query_has_a_name_and_most_have_sql():
     assert set(workload.HEADLINE) <= set(workload.queries())
 
 
-WHOLE = ("varlen_1_2_all", "varlen_1_3_all", "varlen_min2_all", "varlen_left_all", "varlen_both_all", "varlen_fixed_all", "shortest_path_pairs_all", "delta_merge_all", "dml_merge_rel_all")
+WHOLE = ("varlen_1_2", "varlen_min2", "varlen_left", "varlen_both", "varlen_fixed", "varlen_filtered", "shortest_path", "shortest_path_ends", "shortest_path_pairs")
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -64,7 +64,7 @@ def test_shortest_paths_between_all(spark, con):
     edges = knows_of(spark)
     nodes = {a for a, _ in edges}  # every customer knows somebody; the one key beyond them that is known isn't a customer
     want = {(a, b, d) for a in nodes for b, d in depths(edges, a).items() if 1 <= d <= 4 and b in nodes}
-    got = [tuple(r) for r in workload.queries()["shortest_path_all"](spark, DATA).select("a", "b", "d").collect()]
+    got = [tuple(r) for r in workload.queries()["shortest_path"](spark, DATA).select("a", "b", "d").collect()]
     assert len(got) == len(want) and set(got) == want and max(a for a, _, _ in got) > 60
 
 

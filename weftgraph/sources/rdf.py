@@ -251,9 +251,13 @@ def infer(t: DataFrame) -> dict[str, DataFrame | tuple]:
 
 def load(session, path: str) -> None:
     """LOAD FROM: infer tables and put them into the catalog."""
+    register_tables(session, infer(triples(session.spark, path)))
+
+
+def register_tables(session, found: dict[str, DataFrame | tuple]) -> None:
+    """Put inferred tables into the catalog; none may be there already."""
     from ..plans.parser import QueryError
 
-    found = infer(triples(session.spark, path))
     for name in found:
         if session.catalog.get(name):
             raise QueryError(f"table {name} exists")

@@ -2,40 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import algo, fts, vector
 from .operators.paths import reachable, shortest_paths
+from .runtime import shared_dir
 from .session import GraphSession
-from .sources import rdf
-from .streaming.delta import merge
+from .sources import rdf, readers
+from .streaming.delta import DeltaBatch, merge, stream_into
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Turns of a conversation are numbered within this many.
+TURNS_EACH = 1_000_000
+
+
 def graph(spark: SparkSession, sf_dir: str) -> GraphSession:
-    """Region, Nation, Customer, Supplier, Part, Orders, Event, User, Turn and their relationships."""
+    """Region, Nation, Customer, Supplier, Part, Orders, Event, User, Turn, Document and their relationships.
+
+    Tables are registered once for a session and folder, and each is read when a query first names it;
+    every call gets a session of its own on them, so changes stay with the caller."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _graphs:
+        _graphs[known] = _registered(spark, sf_dir)
+    return _graphs[known].fork()
+
+
+_graphs: dict[tuple[str, str], GraphSession] = {}
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> GraphSession:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     g = GraphSession(spark)
     for label, name, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Orders", "orders", "o_orderkey"), ("Event", "events", "event_id"), ("Document", "documents", "doc_id")):
-        g.node_table(label, t(name).withColumn(key, F.col(key).cast("bigint")), key)
-    g.node_table("User", t("events").select("user_id").distinct(), "user_id")
-    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "conv_id", "turn", "role")
-    g.node_table("Turn", turns, "turn_id")
-    g.rel_table("IN_REGION", t("nation").select("n_nationkey", "n_regionkey"), "Nation", "Region", "n_nationkey", "n_regionkey")
-    g.rel_table("CUST_NATION", t("customer").select("c_custkey", "c_nationkey"), "Customer", "Nation", "c_custkey", "c_nationkey")
-    g.rel_table("SUPP_NATION", t("supplier").select("s_suppkey", "s_nationkey"), "Supplier", "Nation", "s_suppkey", "s_nationkey")
-    g.rel_table("PLACED", t("orders").select("o_custkey", "o_orderkey"), "Customer", "Orders", "o_custkey", "o_orderkey")
-    lines = t("lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"))
-    g.rel_table("CONTAINS", lines, "Orders", "Part", "l_orderkey", "l_partkey")
-    g.rel_table("SUPPLIES", t("lineitem").select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part", "l_suppkey", "l_partkey")
-    g.rel_table("DID", t("events").select("user_id", "event_id"), "User", "Event", "user_id", "event_id")
-    next_ = turns.select(F.col("turn_id").alias("a"), (F.col("turn_id") + 1).alias("b")).join(turns.select(F.col("turn_id").alias("b")), "b")
-    g.rel_table("NEXT", next_, "Turn", "Turn", "a", "b")
-    g.rel_table("KNOWS", knows(spark, sf_dir), "Customer", "Customer", "a", "b")
+        g.lazy_node_table(label, lambda name=name, key=key: t(name).withColumn(key, F.col(key).cast("bigint")), key)
+    turns = lambda: t("conversations").select((F.col("conv_id") * TURNS_EACH + F.col("turn")).alias("turn_id"), "conv_id", "turn", "role")
+    g.lazy_node_table("User", lambda: t("events").select(F.col("user_id").cast("bigint").alias("user_id")).distinct(), "user_id")
+    g.lazy_node_table("Turn", turns, "turn_id")
+    g.lazy_rel_table("IN_REGION", lambda: t("nation").select("n_nationkey", "n_regionkey"), "Nation", "Region")
+    g.lazy_rel_table("CUST_NATION", lambda: t("customer").select("c_custkey", "c_nationkey"), "Customer", "Nation")
+    g.lazy_rel_table("SUPP_NATION", lambda: t("supplier").select("s_suppkey", "s_nationkey"), "Supplier", "Nation")
+    g.lazy_rel_table("PLACED", lambda: t("orders").select("o_custkey", "o_orderkey"), "Customer", "Orders")
+    g.lazy_rel_table("CONTAINS", lambda: t("lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")), "Orders", "Part")
+    g.lazy_rel_table("SUPPLIES", lambda: t("lineitem").select("l_suppkey", "l_partkey").distinct(), "Supplier", "Part")
+    g.lazy_rel_table("DID", lambda: t("events").select("user_id", "event_id"), "User", "Event")
+    g.lazy_rel_table("NEXT", lambda: turns().select(F.col("turn_id").alias("a"), (F.col("turn_id") + 1).alias("b")).join(turns().select(F.col("turn_id").alias("b")), "b").select("a", "b"), "Turn", "Turn")
+    g.lazy_rel_table("KNOWS", lambda: knows(spark, sf_dir), "Customer", "Customer")
+    g.lazy_rel_table("SHIPPED", lambda: t("lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity")), "Orders", "Part")
     return g
 
 
@@ -47,7 +66,7 @@ def knows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KNOWS = "knows AS (SELECT DISTINCT a, b FROM (SELECT c_custkey AS a, (c_custkey*c_custkey + j*j*13 + j) % (SELECT count(*) FROM customer) + 1 AS b FROM customer, (VALUES (1),(2),(3)) v(j)) x WHERE a <> b)"
-TURNS = "turns AS (SELECT conv_id*1000+turn AS id, conv_id, turn, role FROM conversations), nexts AS (SELECT x.id AS a, y.id AS b FROM turns x JOIN turns y ON y.id = x.id + 1)"
+TURNS = "turns AS (SELECT conv_id*1000000+turn AS id, conv_id, turn, role FROM conversations), nexts AS (SELECT x.id AS a, y.id AS b FROM turns x JOIN turns y ON y.id = x.id + 1)"
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -165,13 +184,19 @@ add("join_1hop", "MATCH (c:Customer)-[:CUST_NATION]->(n:Nation) RETURN c.c_custk
 add("join_2hop", "MATCH (c:Customer)-[:CUST_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, count(*) AS k", "SELECT r_name AS r, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 add("join_3hop", "MATCH (o:Orders)<-[:PLACED]-(c:Customer)-[:CUST_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, count(*) AS k, round(sum(o.o_totalprice)) AS s", "SELECT r_name AS r, count(*) AS k, round(sum(o_totalprice)) AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 add("join_left_dir", "MATCH (n:Nation)<-[:CUST_NATION]-(c:Customer) RETURN n.n_name AS n, count(*) AS k", "SELECT n_name AS n, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-add("join_both_dir", "MATCH (a:Customer)-[:KNOWS]-(b:Customer) RETURN a.c_custkey AS a, count(*) AS n", f"WITH {KNOWS} SELECT a, count(*) AS n FROM (SELECT a, b FROM knows UNION ALL SELECT b, a FROM knows) x GROUP BY 1")
+add("join_both_dir", "MATCH (a:Customer)-[:KNOWS]-(b:Customer) RETURN a.c_custkey AS a, count(*) AS n", f"WITH {KNOWS}, k AS (SELECT a, b FROM knows JOIN customer ON c_custkey = b) SELECT a, count(*) AS n FROM (SELECT a, b FROM k UNION ALL SELECT b, a FROM k) x GROUP BY 1")
 add("join_rel_props", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) WHERE r.quantity > 45 RETURN p.p_brand AS b, round(sum(r.price)) AS s", "SELECT p_brand AS b, round(sum(l_extendedprice)) AS s FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45 GROUP BY 1")
 add("join_rel_inline", "MATCH (o:Orders)-[:CONTAINS {quantity: 10.0}]->(p:Part) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity = 10")
 add("join_cycle", "MATCH (a:Customer)-[:KNOWS]->(b:Customer)-[:KNOWS]->(a) RETURN a.c_custkey AS a, b.c_custkey AS b", f"WITH {KNOWS} SELECT x.a, x.b FROM knows x JOIN knows y ON x.b = y.a AND y.b = x.a")
 add("join_optional", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS c, o.o_orderkey AS o", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000")
 add("join_alternatives", "MATCH (x)-[:SUPP_NATION]->(n:Nation) RETURN n.n_name AS n, count(*) AS k", "SELECT n_name AS n, count(*) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
-add("join_rel_union", "MATCH (a:Customer)-[:KNOWS|KNOWS]->(b:Customer) RETURN count(*) AS n", f"WITH {KNOWS} SELECT 2 * count(*) AS n FROM knows")
+add("join_rel_union", "MATCH (a:Customer)-[:KNOWS|KNOWS]->(b:Customer) RETURN count(*) AS n", f"WITH {KNOWS} SELECT 2 * count(*) AS n FROM knows JOIN customer ON c_custkey = b")
+add("join_two_types", "MATCH (o:Orders)-[r:SHIPPED|CONTAINS]->(:Part) RETURN o.o_orderkey AS o, count(*) AS n, round(sum(r.quantity)) AS q, count(r.price) AS p", "SELECT o_orderkey AS o, 2 * count(*) AS n, round(2 * sum(l_quantity)) AS q, count(*) AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+add("optional_rel_var", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) OPTIONAL MATCH (o)-[s:SHIPPED]->(x:Part) WHERE s.quantity < r.quantity RETURN o.o_orderkey AS o, r.quantity AS q, count(x.p_partkey) AS n", "SELECT o, q, count(s.l_quantity) AS n FROM (SELECT l_orderkey AS o, l_quantity AS q FROM lineitem) r LEFT JOIN lineitem s ON s.l_orderkey = r.o AND s.l_quantity < r.q GROUP BY 1, 2")
+add("exists_rel_var", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) WHERE EXISTS { MATCH (o)-[s:SHIPPED]->(x:Part) WHERE s.quantity > r.quantity } RETURN o.o_orderkey AS o, p.p_partkey AS p, r.quantity AS q", "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS q FROM lineitem r WHERE EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = r.l_orderkey AND s.l_quantity > r.l_quantity)")
+add("count_rel_var", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) RETURN o.o_orderkey AS o, r.quantity AS q, COUNT { MATCH (o)-[s:SHIPPED]->(x:Part) WHERE s.quantity > r.quantity } AS n", "SELECT l_orderkey AS o, l_quantity AS q, (SELECT count(*) FROM lineitem s WHERE s.l_orderkey = r.l_orderkey AND s.l_quantity > r.l_quantity) AS n FROM lineitem r")
+add("exists_or", "MATCH (c:Customer) WHERE c.c_acctbal < 0 OR EXISTS { MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 400000 } RETURN c.c_custkey AS c, EXISTS { MATCH (c)-[:PLACED]->(o:Orders) } AS e", "SELECT c_custkey AS c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS e FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+add("join_labels", "MATCH (c:Customer:Nation) RETURN count(*) AS n", "SELECT count(*) AS n FROM customer")
 add("join_comma", "MATCH (a:Region), (b:Region) WHERE a.r_regionkey < b.r_regionkey RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b WHERE a.r_regionkey < b.r_regionkey")
 add("join_comma_shared", "MATCH (c:Customer)-[:CUST_NATION]->(n:Nation), (s:Supplier)-[:SUPP_NATION]->(n) RETURN n.n_name AS n, count(*) AS k", "SELECT n_name AS n, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 add("join_multi_match", "MATCH (r:Region {r_name: 'EUROPE'}) MATCH (n:Nation)-[:IN_REGION]->(r) RETURN n.n_name AS n", "SELECT n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
@@ -183,20 +208,15 @@ add("path_value", "MATCH p = (n:Nation)-[:IN_REGION]->(r:Region) RETURN tostring
 _REACH = "reach AS (SELECT a AS src, b AS dst, 1 AS d FROM {e} WHERE {w} UNION SELECT r.src, e.b, r.d + 1 FROM reach r JOIN {e} e ON r.dst = e.a WHERE r.d < {high}), firsts AS (SELECT src, dst, min(d) AS d FROM reach WHERE src <> dst GROUP BY 1, 2)"
 
 
-def _varlen(key: str, hops: str, low: int, high: int, edges: str = "knows", arrow: str = "->") -> None:
+def _varlen(key: str, hops: str, low: int, high: int, arrow: str = "->") -> None:
     left, right = {"->": ("-", "->"), "<-": ("<-", "-"), "--": ("-", "-")}[arrow]
     e = {"->": "knows", "<-": "(SELECT b AS a, a AS b FROM knows)", "--": "(SELECT a, b FROM knows UNION SELECT b, a FROM knows)"}[arrow]
     extra = "" if e == "knows" else f", walked AS {e}"
     name = "knows" if e == "knows" else "walked"
     add(
         key,
-        f"MATCH (a:Customer){left}[:KNOWS{hops}]{right}(b:Customer) WHERE a.c_custkey <= 20 RETURN a.c_custkey AS a, count(*) AS n",
-        f"WITH RECURSIVE {KNOWS}{extra}, {_REACH.format(e=name, w='a <= 20', high=high)} SELECT src AS a, count(*) AS n FROM firsts WHERE d >= {low} GROUP BY 1",
-    )
-    add(
-        f"{key}_all",
         f"MATCH (a:Customer){left}[:KNOWS{hops}]{right}(b:Customer) RETURN a.c_custkey AS a, count(*) AS n",
-        f"WITH RECURSIVE {KNOWS}{extra}, {_REACH.format(e=name, w='TRUE', high=high)} SELECT src AS a, count(*) AS n FROM firsts WHERE d >= {low} GROUP BY 1",
+        f"WITH RECURSIVE {KNOWS}{extra}, {_REACH.format(e=name, w='TRUE', high=high)} SELECT src AS a, count(*) AS n FROM firsts JOIN customer ON c_custkey = dst WHERE d >= {low} GROUP BY 1",
     )
 
 
@@ -206,18 +226,15 @@ _varlen("varlen_min2", "*2..3", 2, 3)
 _varlen("varlen_left", "*1..2", 1, 2, arrow="<-")
 _varlen("varlen_both", "*1..2", 1, 2, arrow="--")
 _varlen("varlen_fixed", "*2", 2, 2)
-add("varlen_chain", "MATCH (a:Turn)-[:NEXT*]->(b:Turn) WHERE a.turn = 0 RETURN a.turn_id AS a, count(*) AS n", f"WITH RECURSIVE {TURNS}, {_REACH.format(e='nexts', w='a % 1000 = 0', high=30)} SELECT src AS a, count(*) AS n FROM firsts GROUP BY 1")
-add("shortest_path", "MATCH p = shortestPath((a:Customer)-[:KNOWS*1..4]->(b:Customer)) WHERE a.c_custkey <= 3 AND b.c_custkey <= 60 RETURN a.c_custkey AS a, b.c_custkey AS b, size(p) - 1 AS d", None)
+add("varlen_chain", "MATCH (a:Turn)-[:NEXT*]->(b:Turn) WHERE a.turn = 0 RETURN a.turn_id AS a, count(*) AS n", f"WITH RECURSIVE {TURNS}, {_REACH.format(e='nexts', w='a % 1000000 = 0', high=30)} SELECT src AS a, count(*) AS n FROM firsts GROUP BY 1")
+_SHORTEST = f"WITH RECURSIVE {KNOWS}, {_REACH.format(e='knows', w='TRUE', high=4)} "
+add("varlen_filtered", "MATCH (a:Customer)-[:KNOWS*1..4]->(b:Customer) WHERE a.c_acctbal < -900 AND b.c_acctbal > 0 RETURN a.c_custkey AS a, b.c_custkey AS b", _SHORTEST + "SELECT src AS a, dst AS b FROM firsts JOIN customer x ON x.c_custkey = src JOIN customer y ON y.c_custkey = dst WHERE x.c_acctbal < -900 AND y.c_acctbal > 0")
+add("shortest_path", "MATCH p = shortestPath((a:Customer)-[:KNOWS*1..4]->(b:Customer)) RETURN a.c_custkey AS a, b.c_custkey AS b, size(p) - 1 AS d", _SHORTEST + "SELECT src AS a, dst AS b, d FROM firsts JOIN customer ON c_custkey = dst WHERE d <= 4")
+add("shortest_path_ends", "MATCH p = shortestPath((a:Customer)-[:KNOWS*1..4]->(b:Customer)) WHERE a.c_acctbal < 0 AND b.c_acctbal > 9000 RETURN a.c_custkey AS a, b.c_custkey AS b, size(p) - 1 AS d", _SHORTEST + "SELECT src AS a, dst AS b, d FROM firsts JOIN customer x ON x.c_custkey = src JOIN customer y ON y.c_custkey = dst WHERE x.c_acctbal < 0 AND y.c_acctbal > 9000")
 add(
     "shortest_path_pairs",
-    lambda s, d: (lambda g: shortest_paths(g.catalog.need("KNOWS").df, g.catalog.need("Customer").df.filter("c_custkey <= 3").select(F.col("c_custkey").alias("_src")).crossJoin(g.catalog.need("Customer").df.filter("c_custkey <= 60").select(F.col("c_custkey").alias("_dst"))), 4).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), (F.size("_path") - 1).cast("bigint").alias("d")))(graph(s, d)),
-    f"WITH RECURSIVE {KNOWS}, {_REACH.format(e='knows', w='a <= 3', high=4)} SELECT x.c_custkey AS a, y.c_custkey AS b, CASE WHEN x.c_custkey = y.c_custkey THEN 0 ELSE coalesce(d, -1) END AS d FROM customer x JOIN customer y ON x.c_custkey <= 3 AND y.c_custkey <= 60 LEFT JOIN firsts ON src = x.c_custkey AND dst = y.c_custkey",
-)
-add("shortest_path_all", "MATCH p = shortestPath((a:Customer)-[:KNOWS*1..4]->(b:Customer)) RETURN a.c_custkey AS a, b.c_custkey AS b, size(p) - 1 AS d", None)
-add(
-    "shortest_path_pairs_all",
-    lambda s, d: (lambda g: shortest_paths(g.catalog.need("KNOWS").df, (c := g.catalog.need("Customer").df).select(F.col("c_custkey").alias("_src")).crossJoin(c.select(F.col("c_custkey").alias("_dst"))), 4).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), (F.size("_path") - 1).cast("bigint").alias("d")))(graph(s, d)),
-    f"WITH RECURSIVE {KNOWS}, {_REACH.format(e='knows', w='TRUE', high=4)} SELECT x.c_custkey AS a, y.c_custkey AS b, CASE WHEN x.c_custkey = y.c_custkey THEN 0 ELSE coalesce(d, -1) END AS d FROM customer x CROSS JOIN customer y LEFT JOIN firsts ON src = x.c_custkey AND dst = y.c_custkey",
+    lambda s, d: (lambda e: shortest_paths(e, e.select(F.col("_dst").alias("_src"), F.col("_src").alias("_dst")), 4).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), (F.size("_path") - 1).cast("bigint").alias("d")))(graph(s, d).catalog.need("KNOWS").df),
+    _SHORTEST + "SELECT x.b AS a, x.a AS b, coalesce(d, -1) AS d FROM knows x LEFT JOIN firsts ON src = x.b AND dst = x.a",
 )
 add("reachable_api", lambda s, d: reachable(graph(s, d).catalog.need("NEXT").df, None, 1, 30).select(F.col("_src").alias("a"), F.col("_dst").alias("b"), F.col("_depth").alias("d")), f"WITH RECURSIVE {TURNS}, {_REACH.format(e='nexts', w='TRUE', high=30)} SELECT src AS a, dst AS b, d FROM firsts")
 
@@ -242,7 +259,7 @@ add(
 )
 add("algo_wcc", lambda s, d: algo.components(algo.edges_of(graph(s, d), "NEXT")), f"WITH {TURNS}, g AS (SELECT id, conv_id FROM turns WHERE id IN (SELECT a FROM nexts UNION SELECT b FROM nexts)), m AS (SELECT id, id - row_number() OVER (PARTITION BY conv_id ORDER BY id) AS isl, conv_id FROM (SELECT DISTINCT id, conv_id FROM g) x) SELECT id AS node_id, min(id) OVER (PARTITION BY conv_id, isl) AS component FROM m")
 add("algo_betweenness", lambda s, d: algo.betweenness(algo.edges_of(graph(s, d), "KNOWS")).select("node_id", F.round("centrality", 6).alias("centrality")), None)
-add("call_pagerank", "CALL algo.pageRank(0.85, 3, 0, rel = 'IN_REGION') YIELD node_id AS id, rank", None)
+add("call_pagerank", "CALL algo.pageRank(0.85, 5, 0, rel = 'KNOWS') YIELD node_id AS id, rank RETURN id, round(rank * 1000000000.0) AS rank", _sql["algo_pagerank"].replace("v AS node_id", "v AS id"))
 add(
     "vector_l2",
     lambda s, d: vector.nearest(_vectors(s, d), list(_vectors(s, d).filter("id = 0").first()["vector"]), 10).select("id", F.round("distance", 6).alias("distance")),
@@ -253,7 +270,11 @@ add(
     lambda s, d: vector.nearest(_vectors(s, d), list(_vectors(s, d).filter("id = 0").first()["vector"]), 10, "cosine").select("id", F.round("distance", 6).alias("distance")),
     "SELECT vec_id AS id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS distance FROM embeddings ORDER BY distance, id LIMIT 10",
 )
-add("vector_each", lambda s, d: vector.nearest_each(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0"), 5).select("query_id", "id", "rank"), None)
+add(
+    "vector_each",
+    lambda s, d: vector.nearest_each(_vectors(s, d), _vectors(s, d).filter("id % 50 = 0"), 5).select("query_id", "rank", F.round("distance", 5).alias("distance")),
+    "WITH d AS (SELECT q.vec_id AS query_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance, v.vec_id AS id FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0) SELECT query_id, rank, round(distance, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) x WHERE rank <= 5",
+)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,38 +307,124 @@ def after(*statements: str) -> Query:
 add("ddl_create", after("CREATE NODE TABLE T (a INT64, b STRING DEFAULT 'd', PRIMARY KEY (a))", "CREATE NODE TABLE IF NOT EXISTS T (a INT64, PRIMARY KEY (a))", "CREATE REL TABLE R (FROM T TO T, w DOUBLE)", "CREATE (x:T {a: 1}), (y:T {a: 2, b: 'z'})", "MATCH (x:T {a: 1}), (y:T {a: 2}) CREATE (x)-[:R {w: 1.5}]->(y)", "MATCH (x:T)-[r:R]->(y:T) RETURN x.b AS x, r.w AS w, y.b AS y"), "SELECT 'd' AS x, CAST(1.5 AS DOUBLE) AS w, 'z' AS y")
 add("ddl_alter", after("ALTER TABLE Region ADD COLUMN note STRING DEFAULT 'n'", "ALTER TABLE Region RENAME COLUMN note TO remark", "ALTER TABLE Region RENAME TO Area", "MATCH (n:Nation)-[:IN_REGION]->(a:Area) RETURN a.r_name AS r, a.remark AS m, count(*) AS n"), "SELECT r_name AS r, 'n' AS m, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 add("dml_create", after("CREATE (r:Region {r_regionkey: 99, r_name: 'MOON'})", "MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS n"), "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS n FROM region UNION ALL SELECT 99, 'MOON'")
-add("dml_create_rel", after("MATCH (c:Customer)-[:CUST_NATION]->(n:Nation) WHERE c.c_custkey <= 5 MATCH (s:Supplier)-[:SUPP_NATION]->(n) WHERE s.s_suppkey = 1 OR s.s_suppkey > 0 MATCH (b:Customer {c_custkey: 6}) CREATE (c)-[:KNOWS]->(b)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer {c_custkey: 6}) RETURN count(*) AS n"), f"WITH {KNOWS} SELECT (SELECT count(*) FROM knows WHERE b = 6) + (SELECT count(*) FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey <= 5) AS n")
+add("dml_create_rel", after("MATCH (c:Customer)-[:CUST_NATION]->(n:Nation) WHERE c.c_acctbal < -900 MATCH (s:Supplier)-[:SUPP_NATION]->(n) WHERE s.s_acctbal > 0 MATCH (b:Customer {c_custkey: 6}) CREATE (c)-[:KNOWS]->(b)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN b.c_custkey AS b, count(*) AS n"), f"WITH {KNOWS} SELECT b, count(*) AS n FROM (SELECT b FROM knows JOIN customer ON c_custkey = b UNION ALL SELECT 6 FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_acctbal < -900 AND s_acctbal > 0) x GROUP BY 1")
 add("dml_set", after("MATCH (c:Customer) WHERE c.c_acctbal < 0 SET c.c_acctbal = c.c_acctbal * 2, c.c_mktsegment = 'DEBT'", "MATCH (c:Customer) RETURN c.c_custkey AS k, c.c_acctbal AS b, c.c_mktsegment AS s"), "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN c_acctbal * 2 ELSE c_acctbal END AS b, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS s FROM customer")
-add("dml_delete", after("MATCH (c:Customer)-[k:KNOWS]->(d:Customer) WHERE c.c_custkey > 10 DELETE k", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows WHERE a <= 10")
-add("dml_detach_delete", after("MATCH (c:Customer) WHERE c.c_custkey <= 100 DETACH DELETE c", "MATCH (c:Customer)-[:KNOWS]->(d:Customer) RETURN c.c_custkey AS a, d.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows WHERE a > 100 AND b > 100")
+add("dml_delete", after("MATCH (c:Customer)-[k:KNOWS]->(d:Customer) WHERE c.c_acctbal > 0 DELETE k", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE x.c_acctbal <= 0")
+add("dml_delete_left", after("MATCH (d:Customer)<-[k:KNOWS]-(c:Customer) WHERE c.c_acctbal > 0 DELETE k", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), _sql["dml_delete"])
+add("dml_delete_both", after("MATCH (a:Customer)-[k:KNOWS]-(b:Customer) WHERE a.c_acctbal > 0 DELETE k", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE x.c_acctbal <= 0 AND y.c_acctbal <= 0")
+add("dml_delete_parallel", after("MATCH (o:Orders)-[r:CONTAINS]->(p:Part) WHERE r.quantity > 10 DELETE r", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p, r.quantity AS q"), "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS q FROM lineitem WHERE l_quantity <= 10")
+add("dml_set_left", after("MATCH (p:Part) WHERE p.p_size > 25 MATCH (p)<-[r:CONTAINS]-(o:Orders) WHERE r.quantity > 20 SET r.quantity = r.quantity + p.p_size, r.price = 0", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p, r.quantity AS q, r.price AS r"), "SELECT l_orderkey AS o, l_partkey AS p, CASE WHEN p_size > 25 AND l_quantity > 20 THEN l_quantity + p_size ELSE l_quantity END AS q, CASE WHEN p_size > 25 AND l_quantity > 20 THEN 0 ELSE l_extendedprice END AS r FROM lineitem JOIN part ON p_partkey = l_partkey")
+add("dml_set_types", after("MATCH (o:Orders)-[r:SHIPPED|CONTAINS]->(:Part) WHERE r.quantity > 40 SET r.quantity = 0", "MATCH (o:Orders)-[r:SHIPPED|CONTAINS]->(:Part) RETURN o.o_orderkey AS o, sum(r.quantity) AS q"), "SELECT l_orderkey AS o, sum(2 * CASE WHEN l_quantity > 40 THEN 0 ELSE l_quantity END) AS q FROM lineitem GROUP BY 1")
+add("dml_detach_delete", after("MATCH (c:Customer) WHERE c.c_acctbal < 0 DETACH DELETE c", "MATCH (c:Customer)-[:KNOWS]->(d:Customer) RETURN c.c_custkey AS a, d.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE x.c_acctbal >= 0 AND y.c_acctbal >= 0")
 add("dml_merge", after("UNWIND [1, 777] AS k MERGE (r:Region {r_regionkey: k}) ON CREATE SET r.r_name = 'NEW' ON MATCH SET r.r_name = 'OLD'", "MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS n"), "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_regionkey = 1 THEN 'OLD' ELSE r_name END AS n FROM region UNION ALL SELECT 777, 'NEW'")
-add("dml_merge_rel", after("MATCH (a:Customer), (b:Customer) WHERE a.c_custkey <= 3 AND b.c_custkey <= 3 AND a.c_custkey <> b.c_custkey MERGE (a)-[:KNOWS]->(b)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) WHERE a.c_custkey <= 3 AND b.c_custkey <= 3 RETURN count(*) AS n"), "SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey WHERE a.c_custkey <= 3 AND b.c_custkey <= 3")
-add("dml_merge_rel_all", after("MATCH (a:Customer)-[:KNOWS]->(b:Customer) MERGE (b)-[:KNOWS]->(a)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), f"WITH {KNOWS} SELECT a, b FROM knows UNION SELECT b, a FROM knows")
+add("dml_merge_rel", after("MATCH (a:Customer)-[:KNOWS]->(b:Customer) MERGE (b)-[:KNOWS]->(a)", "MATCH (a:Customer)-[:KNOWS]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b"), f"WITH {KNOWS}, k AS (SELECT a, b FROM knows JOIN customer ON c_custkey = b) SELECT a, b FROM k UNION SELECT b, a FROM k")
 add("txn_rollback", after("BEGIN TRANSACTION", "MATCH (c:Customer) SET c.c_name = 'x'", "ROLLBACK", "MATCH (c:Customer) RETURN c.c_custkey AS k, c.c_name AS n"), "SELECT c_custkey AS k, c_name AS n FROM customer")
 add("macro", after("CREATE MACRO plus(a, b) AS a + b * 2", "MATCH (p:Part) RETURN p.p_partkey AS k, plus(p.p_size, 1) AS v"), "SELECT p_partkey AS k, p_size + 2 AS v FROM part")
 
 
-def _delta(spark: SparkSession, sf_dir: str, orders: str = "o_custkey % 3 = 0") -> DataFrame:
-    """Every order of ``orders`` changes its customer's balance; customers over 1400 go; new ones come."""
+def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order changes its customer's balance; then customers whose balance was below zero go."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    up = t("orders").filter(orders).select(F.col("o_custkey").alias("c_custkey"), F.lit("upsert").alias("_op"), F.col("o_orderkey").alias("_at"), F.lit(None).cast("string").alias("c_name"), F.lit(False).alias("_has_c_name"), F.lit(None).cast("int").alias("c_nationkey"), F.lit(False).alias("_has_c_nationkey"), F.col("o_totalprice").alias("c_acctbal"), F.lit(True).alias("_has_c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"), F.lit(False).alias("_has_c_mktsegment"))
-    gone = t("customer").filter("c_custkey > 1400").select("c_custkey", F.lit("delete").alias("_op"), F.lit(1 << 60).alias("_at"), F.lit(None).cast("string").alias("c_name"), F.lit(False).alias("_has_c_name"), F.lit(None).cast("int").alias("c_nationkey"), F.lit(False).alias("_has_c_nationkey"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(False).alias("_has_c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"), F.lit(False).alias("_has_c_mktsegment"))
-    return merge(t("customer"), ["c_custkey"], up.unionByName(gone))[0].select("c_custkey", "c_name", "c_acctbal")
+    none = lambda c, kind: (F.lit(None).cast(kind).alias(c), F.lit(False).alias(f"_has_{c}"))
+    rest = (*none("c_name", "string"), *none("c_nationkey", "int"), *none("c_mktsegment", "string"))
+    up = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("upsert").alias("_op"), F.col("o_orderkey").alias("_at"), F.col("o_totalprice").alias("c_acctbal"), F.lit(True).alias("_has_c_acctbal"), *rest)
+    gone = t("customer").filter("c_acctbal < 0").select("c_custkey", F.lit("delete").alias("_op"), F.lit(1 << 60).alias("_at"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(False).alias("_has_c_acctbal"), *rest)
+    return merge(t("customer"), ["c_custkey"], up.unionByName(gone), counts=False)[0].select("c_custkey", "c_name", "c_acctbal")
 
 
-add("delta_merge", _delta, "WITH last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer FULL JOIN last ON o_custkey = c_custkey WHERE coalesce(c_custkey, o_custkey) <= 1400 OR c_custkey IS NULL")
-add("delta_merge_all", lambda s, d: _delta(s, d, "true"), "WITH last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer FULL JOIN last ON o_custkey = c_custkey WHERE coalesce(c_custkey, o_custkey) <= 1400 OR c_custkey IS NULL")
+add("delta_merge", _delta, "WITH last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, coalesce(p, c_acctbal) AS c_acctbal FROM customer FULL JOIN last ON o_custkey = c_custkey WHERE c_acctbal >= 0 OR c_custkey IS NULL")
 
 
-def _copied(kind: str) -> Query:
+def _batch(what: str) -> Query:
+    """A batch on Nation and IN_REGION, then nodes or edges as they are after it."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import uuid
+        g = graph(spark, sf_dir)
+        batch = DeltaBatch().upsert_node("Nation", 3, n_name="THREE").upsert_node("Nation", 99, n_name="NEW").upsert_edge(99, "IN_REGION", 1)
+        batch.upsert_edge(5, "IN_REGION", 2).delete_node("Nation", 5).delete_node("Nation", 6).upsert_node("Nation", 6, n_name="SIX").upsert_edge(6, "IN_REGION", 0)
+        batch.delete_edge(7, "IN_REGION", 3).delete_node("Nation", 98).upsert_edge(98, "IN_REGION", 4)
+        g.apply_delta(batch)
+        if what == "nodes":
+            return g.execute("MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name, n.n_regionkey AS r")
+        return g.catalog.need("IN_REGION").df.select(F.col("_src").alias("a"), F.col("_dst").alias("b"))
+
+    return run
+
+
+add("apply_delta_nodes", _batch("nodes"), "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 3 THEN 'THREE' ELSE n_name END AS name, n_regionkey AS r FROM nation WHERE n_nationkey NOT IN (5, 6) UNION ALL VALUES (99, 'NEW', NULL), (6, 'SIX', NULL)")
+add("apply_delta_edges", _batch("edges"), "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation WHERE n_nationkey NOT IN (5, 6) AND NOT (n_nationkey = 7 AND n_regionkey = 3) UNION ALL VALUES (99, 1), (6, 0), (98, 4)")
+
+
+def _scratch(spark: SparkSession, ending: str) -> str:
+    return f"{shared_dir(spark)}/weft-copy-{uuid.uuid4().hex}.{ending}"
+
+
+def _rows_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    g.insert_row("Region", [77, "SEVEN"])
+    g.insert_row("Region", {"r_regionkey": 78})
+    g.update_cell("Region", 1, "r_name", "ONE")
+    g.delete_row("Region", 2)
+    return g.execute("MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS n")
+
+
+add("rows_api", _rows_api, "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_regionkey = 1 THEN 'ONE' ELSE r_name END AS n FROM region WHERE r_regionkey <> 2 UNION ALL VALUES (77, 'SEVEN'), (78, NULL)")
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, small = GraphSession(spark), graph(spark, sf_dir)
+    for name in ("Region", "Nation", "IN_REGION"):
+        g.catalog.put(small.catalog.need(name))
+    path = _scratch(spark, "db")
+    g.save(path)
+    again = GraphSession.open(spark, path)
+    again.execute("CHECKPOINT")
+    return again.execute("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r")
+
 
-        from .runtime import shared_dir
+add("save_open", _saved, "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
 
-        path = f"{shared_dir(spark)}/weft-copy-{uuid.uuid4().hex}.{kind}"
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances, streamed as JSON messages into Customer; the rows that the table has after it."""
+    g, path = graph(spark, sf_dir), _scratch(spark, "in")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal")).select(F.to_json(F.struct("c_custkey", "c_acctbal")).alias("value")).write.text(path)
+    stream = readers.json_stream(spark.readStream.text(path), T.StructType.fromDDL("c_custkey long, c_acctbal double"))
+    stream_into(g, "Customer", stream, _scratch(spark, "cp")).awaitTermination()
+    return g.execute("MATCH (c:Customer) RETURN c.c_custkey AS k, c.c_name AS n, c.c_acctbal AS b")
+
+
+add("stream_into", _streamed, "SELECT coalesce(c_custkey, o_custkey) AS k, c_name AS n, coalesce(p, c_acctbal) AS b FROM customer FULL JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders GROUP BY 1) x ON o_custkey = c_custkey")
+add("ddl_drop", after("CREATE NODE TABLE Gone (a INT64, PRIMARY KEY (a))", "DROP TABLE Gone", "CREATE NODE TABLE Gone (b STRING, PRIMARY KEY (b))", "CREATE (x:Gone {b: 'again'})", "MATCH (x:Gone) RETURN x.b AS b"), "SELECT 'again' AS b")
+add("ddl_drop_column", after("ALTER TABLE Region ADD COLUMN more INT64 DEFAULT 4", "ALTER TABLE Region DROP COLUMN r_name", "ALTER TABLE Region COMMENT 'parts of the world'", "MATCH (r:Region) RETURN r"), "SELECT {'r_regionkey': CAST(r_regionkey AS BIGINT), 'more': CAST(4 AS BIGINT)} AS r FROM region")
+
+
+def _arrow_bytes(df: DataFrame) -> bytes:
+    import io
+
+    import pyarrow as pa
+
+    table, sink = df.toArrow(), io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue()
+
+
+def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _copied(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _scratch(spark, kind)
         g = graph(spark, sf_dir)
-        g.execute(f"COPY Nation TO '{path}'")
+        if kind == "arrow":
+            _write_bytes(spark, path, _arrow_bytes(g.catalog.need("Nation").df))
+        else:
+            g.execute(f"COPY Nation TO '{path}'")
         g.execute("CREATE NODE TABLE N2 (k INT64, name STRING, r INT64, extra STRING, PRIMARY KEY (k))")
         g.execute(f"COPY N2 FROM '{path}'")
         return g.execute("MATCH (n:N2) RETURN n.k AS k, n.name AS name, n.r AS r, n.extra AS x")
@@ -325,7 +432,7 @@ def _copied(kind: str) -> Query:
     return run
 
 
-for _k in ("csv", "parquet"):
+for _k in ("csv", "parquet", "arrow"):
     add(f"copy_{_k}", _copied(_k), "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(n_regionkey AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS x FROM nation")
 
 
@@ -342,18 +449,58 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
+def _nt_file(spark: SparkSession, sf_dir: str) -> str:
+    """The triples as a folder of N-Triples files."""
+    path, t = _scratch(spark, "nt"), _triples(spark, sf_dir)
+    thing = F.when(F.col("o_uri").isNotNull(), F.concat(F.lit("<"), "o_uri", F.lit(">"))).otherwise(F.concat(F.lit('"'), "o_lit", F.lit('"'), F.coalesce(F.concat(F.lit("^^<"), "o_dt", F.lit(">")), F.lit(""))))
+    t.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), thing, F.lit(" .")).alias("value")).write.text(path)
+    return path
+
+
 def _rdf_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .catalog import Table
+    g = GraphSession(spark)
+    g.execute(f"LOAD FROM '{_nt_file(spark, sf_dir)}'")
+    return g.execute("MATCH (c:Country)-[:within]->(k:Continent) RETURN c.name AS name, k.code AS code")
+
 
+def _rdf_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphSession(spark)
-    found = rdf.infer(_triples(spark, sf_dir))
-    for name, x in found.items():
-        g.catalog.put(Table(name, x, key="uri") if isinstance(x, DataFrame) else Table(name, x[0], source=x[1], target=x[2]))
+    rdf.register_tables(g, rdf.infer(_triples(spark, sf_dir)))
     return g.execute("MATCH (c:Country)-[:within]->(k:Continent) RETURN c.name AS name, k.code AS code")
 
 
-add("rdf_infer", _rdf_load, "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS code FROM nation JOIN region ON r_regionkey = n_regionkey")
-add("rdf_types", lambda s, d: _triples(s, d).filter(F.col("p") == rdf.TYPE).groupBy(F.col("o_uri").alias("type_uri")).agg(F.count("*").alias("count")).select("type_uri", rdf.local_name(F.col("type_uri")).alias("local_name"), "count"), "SELECT 'http://x/Country' AS type_uri, 'Country' AS local_name, count(*) AS count FROM nation UNION ALL SELECT 'http://x/Continent', 'Continent', count(*) FROM region")
+def _escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-Triples literals with escapes, beside a Turtle and an RDF/XML file of the same."""
+    path = _scratch(spark, "nt")
+    lines = [(r'<http://x/a> <http://x/p> "caf\u00e9 \U0001F600 a\\nb \"q\" \n\t."@fr .',), (r"<http://x/a> <http://x/q> <http://x/b> .",)]
+    spark.createDataFrame(lines, "value string").write.text(path)
+    return rdf.triples(spark, path).select("s", "p", "o_uri", F.hex(F.encode("o_lit", "UTF-8")).alias("o_lit"), "o_lang")
+
+
+add("rdf_infer", _rdf_infer, "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS code FROM nation JOIN region ON r_regionkey = n_regionkey")
+add("rdf_load", _rdf_load, _sql["rdf_infer"])
+add("rdf_escapes", _escapes, r"SELECT 'http://x/a' AS s, 'http://x/p' AS p, NULL AS o_uri, hex(encode('caf' || chr(233) || ' ' || chr(128512) || ' a\nb ' || chr(34) || 'q' || chr(34) || ' ' || chr(10) || chr(9) || '.')) AS o_lit, 'fr' AS o_lang UNION ALL SELECT 'http://x/a', 'http://x/q', 'http://x/b', NULL, NULL")
+add("rdf_types", lambda s, d: GraphSession(s).execute(f"CALL rdf.types('{_nt_file(s, d)}')"), "SELECT 'http://x/Country' AS type_uri, 'Country' AS local_name, count(*) AS count FROM nation UNION ALL SELECT 'http://x/Continent', 'Continent', count(*) FROM region")
+add("rdf_stats", lambda s, d: GraphSession(s).execute(f"CALL rdf.stats('{_nt_file(s, d)}')"), "WITH c AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r) SELECT 3 * n + 2 * r AS triple_count, n + r AS subject_count, CAST(4 AS BIGINT) AS predicate_count, n + r AS type_count FROM c")
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and vectors added through procedures, searched through procedures."""
+    g = GraphSession(spark)
+    g.texts.use(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content")))
+    return g.execute("CALL fts.search('stupid clown', 10) YIELD doc_id AS doc_id, score AS score RETURN doc_id, round(score * 1000000) / 1000000 AS score")
+
+
+def _vector_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GraphSession(spark)
+    g.call("vector.build", 3, "l2")
+    for k, row in enumerate(("1,0,0", "0,1,0", "0,0,2", "1,1,1")):
+        g.call("vector.add", k, row)
+    return g.execute("CALL vector.search('1,0,0', 3) YIELD id AS id, distance AS distance")
+
+
+add("fts_call", _searched, _sql["fts_bm25"])
+add("vector_call", _vector_call, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS DOUBLE)), (1, 2), (3, 2)) v(id, distance)")
 
 #: The heaviest shapes, for the benchmark.
 HEADLINE = ("scan_filter_project", "pipeline_group", "sort_limit", "expr_arith", "agg_distinct", "join_3hop", "join_rel_props", "varlen_1_3", "algo_pagerank", "algo_wcc", "fts_bm25", "vector_l2", "delta_merge")
