@@ -51,6 +51,20 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def written() -> int:
+    """A mark for ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Delete what was stored since ``mark``, but for ``keep``."""
+    left = {getattr(x, "_weft_path", None) for x in keep}
+    for spark, path in _written[mark:]:
+        if path not in left:
+            runtime.delete_path(spark, path)
+    _written[mark:] = [(spark, path) for spark, path in _written[mark:] if path in left]
+
+
 def drop_stored(*frames: DataFrame) -> None:
     for frame in frames:
         runtime.delete_path(frame.sparkSession, frame._weft_path)
