@@ -23,7 +23,7 @@ def rotate_perspectives(turns: DataFrame, system_role: str = "system") -> DataFr
     Null text is an empty turn. A null role speaks as user ``unknown`` and has no
     perspective. Null conv_id is a dialogue like any other. Repeated rows are repeated
     turns. A dialogue without participants, or an empty table, gives no rows. Markers
-    inside a text are broken up by a space so that they cannot end a turn.
+    inside a text or a name are broken up by a space so that they cannot end a turn; line breaks in a name are spaces in the header.
     """
     turns = turns.select("conv_id", "turn", "role", "text")
     speakers = (
@@ -37,7 +37,8 @@ def rotate_perspectives(turns: DataFrame, system_role: str = "system") -> DataFr
     name = F.when(seat == "user", F.coalesce("role", F.lit("unknown")))
     content = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
     rows = rows.select("conv_id", "perspective", "turn", seat.alias("seat"), name.alias("name"), content.alias("content"))
-    head = F.concat(F.lit(OPEN), "seat", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    shown = F.replace(F.regexp_replace("name", r"[\r\n]", " "), F.lit("<|im_"), F.lit("<| im_"))
+    head = F.concat(F.lit(OPEN), "seat", F.coalesce(F.concat(F.lit(" name="), shown), F.lit("")), F.lit("\n"))
     trained = F.col("seat") == "assistant"
     return rows.select(
         "conv_id",
@@ -62,7 +63,7 @@ WITH speakers AS (
 ), named AS (
   SELECT *, CASE WHEN seat = 'user' THEN coalesce(role, 'unknown') END AS name FROM seats
 ), headed AS (
-  SELECT *, '<|im_start|>' || seat || coalesce(' name=' || name, '') || chr(10) AS head FROM named
+  SELECT *, '<|im_start|>' || seat || coalesce(' name=' || replace(regexp_replace(name, '[\\r\\n]', ' ', 'g'), '<|im_', '<| im_'), '') || chr(10) AS head FROM named
 )
 SELECT conv_id, perspective, turn, seat, name, head || content || '<|im_end|>' || chr(10) AS rendered,
        CASE WHEN seat = 'assistant' THEN length(head) ELSE 0 END AS loss_from,
