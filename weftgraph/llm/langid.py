@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import drop_stored, mix64, slices, stored
 
 N, SLOT_BITS, HASHES = 4, 18, 2
 #: Characters that are hashed at a time.
@@ -99,6 +99,41 @@ class BitFilter:
         return out
 
 
+def most_frequent(counted: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows (lang, g, n) of each lang with the highest n, ties by least g. Langs are never gathered in a task: histograms, which are
+    added up before they are shuffled, tell the n and, among the rows that have just that n, the g from which a row is left out."""
+    n_at: dict[int, tuple[int, int]] = {}  # lang to the n at which the k-th row stands, and how many rows of that n are in
+    for r in counted.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).toLocalIterator():  # as many as there are different counts
+        if r["lang"] not in n_at or n_at[r["lang"]][1] > 0:
+            left = n_at[r["lang"]][1] if r["lang"] in n_at else k
+            n_at[r["lang"]] = (r["n"], left - r["count"])
+    rows = [(x, n, left) for x, (n, left) in n_at.items() if left < 0]  # too many rows of that n
+    if not rows:
+        return counted
+    last = F.broadcast(counted.sparkSession.createDataFrame(rows, "of int, last long, over long"))
+    joined = counted.join(last, counted["lang"] == last["of"], "left").filter(F.col("of").isNull() | (F.col("n") >= F.col("last")))
+    ties = joined.filter(F.col("n") == F.col("last"))
+    bucket = F.shiftright("g", 52)
+    room = {r["of"]: (r["c"] + r["over"]) for r in ties.groupBy("of", "over").agg(F.count("*").alias("c")).collect()}
+    cuts: dict[int, tuple[int, int]] = {}  # lang to the bucket in which the room ends, and how many of it fit
+    for r in ties.groupBy("of", bucket.alias("b")).agg(F.count("*").alias("c")).orderBy("of", "b").collect():  # 4096 buckets a lang
+        if r["of"] not in cuts:
+            if room[r["of"]] < r["c"]:
+                cuts[r["of"]] = (r["b"], room[r["of"]])
+            else:
+                room[r["of"]] -= r["c"]
+    kept = F.lit(False)
+    edge = ties.filter(F.coalesce(*[F.when((F.col("of") == x) & (bucket == b), F.lit(True)) for x, (b, _) in cuts.items()], F.lit(False))) if cuts else None
+    inside: dict[int, list[int]] = {}
+    if edge is not None:
+        for r in edge.select("of", "g").orderBy("of", "g").collect():
+            inside.setdefault(r["of"], []).append(r["g"])
+    for x, (b, fit) in cuts.items():
+        taken = inside.get(x, [])[:fit]
+        kept = kept | ((F.col("of") == x) & ((bucket < b) | ((bucket == b) & (F.col("g") <= taken[-1]) if taken else F.lit(False))))
+    return joined.filter(F.col("of").isNull() | (F.col("n") > F.col("last")) | kept).select("lang", "g", "n")
+
+
 def learn(docs: DataFrame, train: Column, docs_per_lang: int = 3000, grams_per_lang: int = 8000, least_share: float = 0.05) -> BitFilter:
     """Fit the filter on a sample of about ``docs_per_lang`` rows of each lang among those where ``train`` holds.
 
@@ -127,9 +162,9 @@ def learn(docs: DataFrame, train: Column, docs_per_lang: int = 3000, grams_per_l
                     g, n = np.unique(h[of == x], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(g), x), pa.int32()), "g": pa.array(g.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    counted = rows.filter(chosen).mapInArrow(count, "lang int, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).filter(F.col("r") <= grams_per_lang)
-    got = top.select("lang", "g", "n").toPandas()
+    counted = stored(rows.filter(chosen).mapInArrow(count, "lang int, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
+    got = most_frequent(counted, grams_per_lang).toPandas()
+    drop_stored(counted)
     got["share"] = got.n / got.groupby("lang").n.transform("sum")
     got = got[got.share >= least_share * got.groupby("g").share.transform("max")]
     out = BitFilter(langs)
