@@ -213,7 +213,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, lexico
     sizes = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     share = lambda x: min(1.0, rows_per_class / max(1, sizes.get(x, 0)))
     ids = marked.filter(F.when(F.col("toxic") == 1, sampled(F.col("doc_id"), share(1))).otherwise(sampled(F.col("doc_id"), share(0))))
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    # the bounded sample is read from the documents once
+    rows = stored(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"))
 
     def characters(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -284,6 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, lexico
         step = np.linalg.solve((x * (m * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (t - m * p) - ridge @ fit)
         fit = fit + step * min(1.0, 2.0 / max(abs(step).max(), 1e-9))
     model.fit = tuple(float(round(v, 9)) for v in fit)
+    drop_stored(rows)
     return model
 
 
