@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import drop_stored, let, stored
 
 #: Domains by the labels (quality, toxic), and the target share of tokens of each.
 DOMAINS = ("good", "poor", "toxic")
@@ -60,7 +60,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int, vocabulary: in
     n = labelled.count()
     share = min(1.0, sample / max(n, 1))
     ids = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("domain", "text")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("domain", "text"))
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     priors = {d: (sizes.get(d, 0) + 1.0) / (total + len(DOMAINS)) for d in DOMAINS}
@@ -70,6 +70,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int, vocabulary: in
     # the information that the term's presence gives about the domain
     weight = sum((F.col(d) * F.log(c / every) for d, c in zip(DOMAINS, chance)), F.lit(0.0))
     top = counts.filter((sum((F.col(d) for d in DOMAINS), F.lit(0)) >= 3) & (weight > LEAST)).orderBy(F.desc(F.round(weight, 6)), "term").limit(vocabulary).collect()
+    drop_stored(rows)
     has = lambda r, d: (r[d] + 0.5) / (sizes.get(d, 0) + 1.0)
     base = {d: math.log(priors[d]) + sum(math.log(1 - has(r, d)) for r in top) for d in DOMAINS}
     return base, {r["term"]: {d: math.log(has(r, d)) - math.log(1 - has(r, d)) for d in DOMAINS} for r in top}
