@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -169,6 +170,32 @@ class Words:
         self.bounds = np.searchsorted(self.starts, self.offsets)
 
 
+#: Texts beyond this many bytes are hashed in pieces.
+LONG = 1 << 20
+
+
+def cut_words(text: bytes, size: int = LONG, overlap: int = 0) -> list[bytes]:
+    """Pieces of about ``size`` bytes that end where words end; each begins with the last ``overlap`` words of the one before."""
+    out, start = [], 0
+    while len(text) - start > size:
+        m = _BREAK.search(text, start + size)
+        if not m:
+            break
+        out.append(text[start : m.start()])
+        back = out[-1].rsplit(None, overlap) if overlap else []
+        # the first part is what stands before the overlap; a piece of few words goes on without one
+        start = start + len(back[0]) if len(back) > overlap else m.start()
+    return [*out, text[start:]]
+
+
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, with a text of any length in bounded memory but for the hashes."""
+    return Words([text]).hashes if len(text) <= LONG else np.concatenate([Words([x]).hashes for x in cut_words(text)])
+
+
 def utf8(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa

@@ -16,12 +16,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, drop_stored, mix64, slices, stored, utf8
+from .common import LONG, Words, mix64, slices, stored, utf8, word_hashes
 from .components import components
 
 SHINGLE, PERMS, ROWS = 5, 72, 6
@@ -30,7 +31,11 @@ _C = np.uint64(0xD6E8FEB86659FD93)
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles of lower-cased words."""
-    w = Words(texts)
+    if len(texts) == 1 and len(texts[0]) > LONG:
+        hashes = word_hashes(texts[0])
+        w = SimpleNamespace(hashes=hashes, bounds=np.asarray([0, len(hashes)]))
+    else:
+        w = Words(texts)
     h = np.zeros(max(0, len(w.hashes) - size + 1), np.uint64)
     for k in range(size):
         h = h * _C + w.hashes[k : k + len(h)]
@@ -79,7 +84,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, perms: int = PERMS, rows: i
 
         for batch in batches:
             texts = utf8(batch.column(1))
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 20):
+            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), LONG >> 1):
                 sets = shingle_sets(texts[a:b], size)
                 some = [s for s in sets if len(s)]
                 got = iter(min_max(some, perms, rows).view(np.int64)) if some else iter(())
@@ -102,7 +107,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             texts = utf8(batch.column(1))
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 20):
+            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), LONG >> 1):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "sh": pa.array([s.view(np.int64) for s in shingle_sets(texts[a:b], size)], pa.list_(pa.int64()))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sh array<long>")
