@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 K1, B, MAX_TERM = 1.2, 0.75, 40
 SCHEMA = "doc_id long, content string"
 
@@ -17,21 +19,18 @@ def terms(text):
     return F.filter(words, lambda w: (w != "") & (F.octet_length(w) <= MAX_TERM))
 
 
-def _is(word: str):
-    return lambda x: x == word
-
-
 def bm25(docs: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
     """doc_id, score, snippet of the best documents (doc_id, content).
 
-    One pass counts documents, lengths and the query's terms; no row per word is
-    shuffled: only documents that hold a term leave their task, as their few term counts.
-    """
+    One pass over the texts counts lengths and the query's terms and writes these few numbers; statistics and scores
+    come from them, and the texts are read again for the best documents' snippets only. No row per word is shuffled.
+    ``doc_id`` is taken for a key."""
     wanted = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w and len(w.encode()) <= MAX_TERM})
     if not wanted:
         return docs.sparkSession.createDataFrame([], "doc_id long, score double, snippet string")
-    t = docs.select("doc_id", "content", terms(F.col("content")).alias("_t"))
-    counted = t.select("doc_id", "content", F.size("_t").alias("_n"), *[F.size(F.filter("_t", _is(w))).alias(f"_f{i}") for i, w in enumerate(wanted)])
+    t = docs.select("doc_id", terms(F.col("content")).alias("_t"))
+    # the number of a term's places is what its removal takes away; one pass, kept as a few numbers a document
+    counted = materialize(t.select("doc_id", F.size("_t").alias("_n"), *[(F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_f{i}") for i, w in enumerate(wanted)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("avg"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"d{i}") for i in range(len(wanted))]).first()
     score = F.lit(0.0)
     for i in range(len(wanted)):
@@ -39,8 +38,9 @@ def bm25(docs: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
         idf = F.log(F.lit(1 + (stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.lit(float(stats["avg"] or 1.0))))
     any_ = F.greatest(*[F.col(f"_f{i}") for i in range(len(wanted))]) if len(wanted) > 1 else F.col("_f0")
-    out = counted.filter(any_ > 0).select("doc_id", score.alias("score"), F.col("content").alias("snippet")).orderBy(F.desc("score"), "doc_id")
-    return out if limit is None else out.limit(limit)
+    best = counted.filter(any_ > 0).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id")
+    best = best if limit is None else best.limit(limit)
+    return best.join(docs.select("doc_id", F.col("content").alias("snippet")), "doc_id").select("doc_id", "score", "snippet").orderBy(F.desc("score"), "doc_id")
 
 
 class TextIndex:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "id long, vector array<float>"
+#: Vectors that are compared with a block of queries at a time.
+STEP = 256
 
 
 def distance(v: Column, query: list[float], metric: str = "l2") -> Column:
@@ -25,7 +27,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "
     return vectors.select("id", distance(F.col("vector"), query, metric).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", block: int = 4096) -> DataFrame:
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", block: int = 1024) -> DataFrame:
     """query_id, id, distance, rank: the ``k`` nearest of every query vector (id, vector).
 
     Queries go to the scan in blocks of bounded size; each task keeps its own ``k`` for each query and only these are shuffled.
@@ -47,20 +49,29 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
 
             best_d = np.full((len(q), 0), np.inf)
             best_i = np.zeros((len(q), 0), np.int64)
+            norm_q = np.linalg.norm(q, axis=1)
             for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(v):
-                    continue
-                dots = q @ v.T
-                if metric.lower() == "cosine":
-                    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
-                    d = np.where(norms == 0, 1.0, 1 - dots / np.where(norms == 0, 1, norms))
-                else:
-                    d = np.stack([((v - x) ** 2).sum(1) for x in q])
-                best_d = np.concatenate([best_d, d], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), d.shape)], 1)
-                order = np.lexsort((best_i, best_d))[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+                lists, every = batch.column(1), batch.column(0).to_numpy()
+                for at in range(0, batch.num_rows, STEP):
+                    part = lists.slice(at, STEP)
+                    v = part.flatten().to_numpy().astype(np.float64).reshape(len(part), -1)
+                    i = every[at : at + STEP]
+                    if metric.lower() == "cosine":
+                        norms = norm_q[:, None] * np.linalg.norm(v, axis=1)[None]
+                        d = np.where(norms == 0, 1.0, 1 - (q @ v.T) / np.where(norms == 0, 1, norms))
+                    else:
+                        d = np.empty((len(q), len(v)))
+                        for j, x in enumerate(q):  # exact differences: products would lose the digits of near vectors
+                            d[j] = np.square(v - x).sum(1)
+                    d = np.concatenate([best_d, d], 1)
+                    i = np.concatenate([best_i, np.broadcast_to(i, (len(q), len(v)))], 1)
+                    if d.shape[1] > k:
+                        # all that is as near as the k-th, then the first k of these by distance and id
+                        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                        order = np.lexsort((np.where(d <= limit, i, np.iinfo(np.int64).max), np.where(d <= limit, d, np.inf)))[:, :k]
+                    else:
+                        order = np.lexsort((i, d))
+                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             if best_d.shape[1]:
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, best_d.shape[1])), "id": pa.array(best_i.ravel()), "distance": pa.array(best_d.ravel())})
 
