@@ -85,6 +85,62 @@ def test_changes(g):
         g.execute("ALTER TABLE City DROP COLUMN name")
 
 
+def test_relationships_are_told_apart(spark):
+    def fresh():
+        g = GraphSession(spark).node_table("P", spark.createDataFrame([(1,), (2,), (3,)], "k long"), "k")
+        g.rel_table("R", spark.createDataFrame([(1, 2, 5.0), (1, 2, 9.0), (2, 1, 7.0), (2, 3, 1.0)], "_src long, _dst long, w double"), "P", "P")
+        return g.rel_table("S", spark.createDataFrame([(2, 3, 6.0)], "_src long, _dst long, w double"), "P", "P")
+
+    left = lambda g: sorted(tuple(r) for r in g.catalog.need("R").df.collect())
+    every = [(1, 2, 5.0), (1, 2, 9.0), (2, 1, 7.0), (2, 3, 1.0)]
+    g = fresh()
+    g.execute("MATCH (a {k: 3})<-[r:R]-(b:P) DELETE r")
+    assert left(g) == every[:3]
+    g = fresh()
+    g.execute("MATCH (a:P)<-[r:R {w: 5.0}]-(b:P) DELETE r")
+    assert left(g) == every[1:]
+    g = fresh()
+    g.execute("MATCH (b:P {k: 3}) MATCH (a:P)-[r:R]->(b) SET r.w = 100.0")
+    assert left(g) == [*every[:3], (2, 3, 100.0)]
+    g = fresh()
+    g.execute("MATCH (a:P)-[r:R]->(b:P) WHERE r.w > 8 SET r.w = r.w + 1, a.k = a.k") if False else g.execute("MATCH (a:P)-[r:R]->(b:P) WHERE r.w > 8 SET r.w = r.w + 1")
+    assert left(g) == [(1, 2, 5.0), (1, 2, 10.0), (2, 1, 7.0), (2, 3, 1.0)]
+    g = fresh()
+    assert rows(g, "MATCH (a:P)-[r:R]->(b:P) OPTIONAL MATCH (b)-[s:S]->(c:P) WHERE s.w < r.w RETURN r.w AS w, c.k AS c ORDER BY w") == [(1.0, None), (5.0, None), (7.0, None), (9.0, 3)]
+    assert rows(g, "MATCH (a:P)-[r:R]->(b:P) WHERE EXISTS { MATCH (b)-[s:S]->(c:P) WHERE s.w < r.w } RETURN r.w AS w") == [(9.0,)]
+    assert rows(g, "MATCH (a:P)-[r:R]->(b:P) WITH r, b WHERE r.w > 6 RETURN r.w AS w, COUNT { (b)-[s:S]->(:P) } AS n ORDER BY w") == [(7.0, 0), (9.0, 1)]
+    for q in ("MERGE (x:T {k: 1, n: 'zz'})", "MATCH (a:P:Nope) RETURN a"):
+        g.node_table("T", spark.createDataFrame([(1, "a")], "k long, n string"), "k")
+        with pytest.raises(QueryError):
+            g.execute(q)
+
+
+def test_conditions_come_before_searches(g, monkeypatch):
+    from weftgraph.plans import compiler
+
+    seen = []
+
+    def spied(name):
+        real = getattr(compiler, name)
+        monkeypatch.setattr(compiler, name, lambda edges, sources, *a, **k: (seen.append(sources.count()), real(edges, sources, *a, **k))[1])
+
+    spied("reachable")
+    spied("paths_from")
+    assert rows(g, "MATCH (a:Person)-[:KNOWS*1..4]->(b:Person) WHERE a.name = 'Bob' RETURN b.name AS n ORDER BY n") == [("Dave",), ("Eve",)]
+    assert rows(g, "MATCH p = shortestPath((a:Person)-[:KNOWS*]->(b:Person)) WHERE a.age > 33 AND b.name <> 'Bob' RETURN p") == [(["Carol", "Eve"],)]
+    assert rows(g, "MATCH (b:Person {name: 'Eve'}) MATCH p = shortestPath((a:Person)-[:KNOWS*]->(b)) WHERE a.age < 31 RETURN p ORDER BY p") == [(["Alice", "Carol", "Eve"],), (["Bob", "Dave", "Eve"],), (["Dave", "Eve"],)]
+    assert seen == [1, 1, 1]
+
+
+def test_shell(g):
+    from weftgraph.cli import Shell
+
+    said = []
+    Shell(g, said.append).run([":tables", ":param low = 30", ":params", ":env HOME = here", "MATCH (p:Person)", "WHERE p.age > $low RETURN p.name AS n, env('HOME') AS h;", "RETURN nope;", ":wrong", ":schema", ":stats", ":help", ":quit", "RETURN 1 AS x;"])
+    assert "node Person" in said and "low = 30" in said and "Carol | here" in said and any(x.startswith("error: ") for x in said)
+    assert "node Person (name STRING, age INT64)" in said and "KNOWS: 5 rows" in said and "1" not in said
+
+
 def test_errors(g):
     for q in ("MATCH (x:Nope) RETURN x", "MATCH (p:Person) RETURN p.nope", "RETURN y", "RETURN nofunc(1)", "MATCH (p:Person) WHERE p.name = $missing RETURN p", "CALL nope.proc()", "RETURN 1 AS a UNION RETURN 2 AS b"):
         with pytest.raises((QueryError, ValueError)):
@@ -92,10 +148,10 @@ def test_errors(g):
 
 
 def test_files(g, tmp_path, spark):
-    (tmp_path / "s.csv").write_text("id,name,score,active\n1,Alice,95.5,true\n2,,87.3,no\n")
-    g.execute("CREATE NODE TABLE Student (id INT64, name STRING, score DOUBLE, active BOOL, more STRING, PRIMARY KEY (id))")
-    g.execute(f"COPY Student FROM '{tmp_path}/s.csv'")
-    assert rows(g, "MATCH (s:Student) RETURN s.id AS i, s.name AS n, s.score AS s, s.active AS a, s.more AS m ORDER BY i") == [(1, "Alice", 95.5, True, None), (2, None, 87.3, False, None)]
+    (tmp_path / "s.csv").write_text('ship,port,draught,afloat\n4,"Oslo, old",7.25,yes\n9,,3.5,f\n')
+    g.execute("CREATE NODE TABLE Ship (ship INT64, port STRING, draught DOUBLE, afloat BOOL, flag STRING, PRIMARY KEY (ship))")
+    g.execute(f"COPY Ship FROM '{tmp_path}/s.csv'")
+    assert rows(g, "MATCH (s:Ship) RETURN s.ship AS i, s.port AS p, s.draught AS d, s.afloat AS a, s.flag AS f ORDER BY i") == [(4, "Oslo, old", 7.25, True, None), (9, None, 3.5, False, None)]
     table = pa.table({"x": pa.array([7, 8], pa.int64()), "y": ["a", "b"]})
     with pa.ipc.new_file(str(tmp_path / "s.arrow"), table.schema) as out:
         out.write_table(table)
@@ -118,10 +174,13 @@ def test_algorithms(spark):
 
 
 def test_search(g):
-    for t in ("rust is nice", "rust rust rust is a rust language for rust developers", "nothing here"):
+    for t in ("a heron stands in the reeds", "heron after heron, and one more heron over the long grey lake", "the lake is still", "one grey heron"):
         g.call("fts.add", t)
-    assert [r["doc_id"] for r in g.execute("CALL fts.search('Rust!', 5)").collect()] == [1, 0]
-    assert g.call("fts.search", "zzz").collect() == []
+    found = lambda q, n=9: [r["doc_id"] for r in g.call("fts.search", q, n).collect()]
+    assert [r["doc_id"] for r in g.execute("CALL fts.search('Heron?', 2)").collect()] == [1, 3]
+    assert g.call("fts.search", "zzz").collect() == [] and found("heron lake")[0] == 1 and set(found("heron lake")) == {0, 1, 2, 3}
+    assert found("+heron -lake") == [3, 0] and found('"grey heron"') == [3] and set(found('"grey heron" reeds')) == {0, 3}
+    assert found("heron AND lake") == [1] and found("lake NOT heron") == [2] and found('"lake the"') == [] and found("-heron") == []
     g.call("fts.clear")
     assert g.call("fts.add", "x").first()[0] == 0
     g.call("vector.build", 3, "cosine")
@@ -138,6 +197,10 @@ def test_delta(g):
     assert (got["edges_created"], got["edges_updated"], got["edges_deleted"], got["total_deltas"]) == (1, 1, 1, 6)
     assert g.apply_delta(DeltaBatch().upsert_node("Person", "Alice", age=31))["nodes_updated"] == 1
     assert rows(g, "MATCH (p:Person {name: 'Alice'}) RETURN p.age") == [(31,)]
+    again = DeltaBatch().upsert_edge("Alice", "KNOWS", "Zoe", since=1).upsert_edge("Carol", "KNOWS", "Bob", since=2).delete_node("Person", "Alice").upsert_edge("Alice", "KNOWS", "Late", since=3)
+    g.apply_delta(again)
+    left = {tuple(r) for r in g.catalog.need("KNOWS").df.collect()}
+    assert {x for x in left if "Alice" in x[:2]} == {("Alice", "Late", 3)} and ("Carol", "Bob", 2) in left
     a, b = VectorClock({"x": 1}), VectorClock({"x": 2, "y": 1})
     assert a.happens_before(b) and not b.happens_before(a) and batch.labels() == ["Person"]
 
@@ -161,3 +224,13 @@ def test_stream(spark, tmp_path, g):
     stream = spark.readStream.schema("name string, age long").json(str(tmp_path / "in"))
     stream_into(g, "Person", stream, str(tmp_path / "cp")).awaitTermination()
     assert rows(g, "MATCH (p:Person) WHERE p.age IN [77, 5] RETURN p.name AS n ORDER BY n") == [("Alice",), ("S",)]
+    # a later run of the same stream takes up what an earlier one did
+    from weftgraph.streaming import delta
+
+    (tmp_path / "in" / "b.json").write_text('{"name": "S", "age": 6}\n{"name": "T", "age": 5}\n')
+    other = GraphSession(spark).node_table("Person", spark.createDataFrame([("Alice", 30)], "name string, age long"), "name")
+    for every in (delta.COMPACT_EVERY, 1):
+        delta.COMPACT_EVERY, kept = every, delta.COMPACT_EVERY
+        stream_into(other, "Person", spark.readStream.schema("name string, age long").json(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+        delta.COMPACT_EVERY = kept
+        assert rows(other, "MATCH (p:Person) RETURN p.name AS n, p.age AS a ORDER BY n") == [("Alice", 77), ("S", 6), ("T", 5)]

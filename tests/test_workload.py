@@ -8,7 +8,7 @@ import pytest
 from weftgraph import workload
 
 DATA = "/root/testdata/sf0.001"
-SOME = ("scan_filter_project", "expr_case", "fn_lpad", "fn_json_extract", "agg_distinct", "join_3hop", "join_cycle", "join_optional", "varlen_1_3", "sort_nulls", "algo_pagerank", "algo_wcc", "vector_l2", "fts_bm25", "dml_set", "delta_merge", "rdf_infer", "rdf_load", "rdf_escapes", "rdf_types", "rdf_stats", "join_two_types", "optional_rel_var", "exists_rel_var", "count_rel_var", "exists_or", "dml_delete", "dml_delete_left", "dml_delete_both", "dml_delete_parallel", "dml_set_left", "dml_set_types", "dml_merge_rel", "apply_delta_nodes", "apply_delta_edges", "rows_api", "save_open", "stream_into", "copy_arrow", "ddl_drop", "vector_each", "vector_call", "fts_call", "call_pagerank")
+SOME = ("scan_filter_project", "expr_case", "fn_lpad", "fn_json_extract", "agg_distinct", "join_3hop", "join_cycle", "join_optional", "varlen_1_3", "sort_nulls", "algo_pagerank", "algo_wcc", "vector_l2", "fts_bm25", "dml_set", "delta_merge", "rdf_infer", "rdf_load", "rdf_escapes", "rdf_types", "rdf_stats", "join_two_types", "optional_rel_var", "exists_rel_var", "count_rel_var", "exists_or", "dml_delete", "dml_delete_left", "dml_delete_both", "dml_delete_parallel", "dml_set_left", "dml_set_types", "dml_merge_rel", "apply_delta_nodes", "apply_delta_edges", "rows_api", "save_open", "stream_into", "copy_arrow", "ddl_drop", "vector_each", "vector_call", "fts_call", "fts_must", "export_import", "call_pagerank")
 
 
 @pytest.fixture(scope="module")

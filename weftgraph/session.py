@@ -17,7 +17,7 @@ from .operators import algo, fts, vector
 from .operators.dml import Mutator
 from .plans.compiler import QueryCompiler, Scope
 from .plans.parser import QueryError, parse
-from .runtime import ensure_importable, materialize
+from .runtime import child_folders, ensure_importable, materialize
 from .sources import rdf, readers
 from .types import parse_type, type_name
 
@@ -256,6 +256,12 @@ class GraphSession:
         for t in self.catalog.all():
             self.catalog.put(t.with_df(materialize(t.df)))
 
+    def _do_export(self, path, params, env):
+        self.save(path)
+
+    def _do_import(self, path, params, env):
+        self.load(path)
+
     def _do_begin(self, params, env):
         if self._snapshot is not None:
             raise QueryError("a transaction is open")
@@ -273,22 +279,32 @@ class GraphSession:
 
     # -- persistence -----------------------------------------------------------------
     def save(self, path: str) -> None:
-        """A Parquet folder for each table and ``catalog`` (JSON lines) in ``path``, on any file system that Spark writes."""
-        rows = []
+        """A new version in ``path``, on any file system that Spark writes: a Parquet folder for each table, then the catalog (JSON lines).
+        A version counts from when its catalog is written, so tables that come from an earlier one can be saved, and a failure loses nothing."""
+        n, rows = 1 + max(_versions(self.spark, path), default=0), []
         for t in self.catalog.all():
-            t.df.write.mode("overwrite").parquet(f"{path}/{t.name}")
+            t.df.write.mode("overwrite").parquet(f"{path}/tables/{n}/{t.name}")
             rows.append(json.dumps({"name": t.name, "key": t.key, "source": t.source, "target": t.target, "defaults": t.defaults, "comment": t.comment, "schema": json.loads(t.df.schema.json())}))
-        self.spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_catalog")
+        self.spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/catalog/{n}")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> GraphSession:
         out = cls(spark, **options)
-        for row in spark.read.text(f"{path}/_catalog").collect():
-            t = json.loads(row[0])
-            df = spark.read.schema(T.StructType.fromJson(t.pop("schema"))).parquet(f"{path}/{t['name']}")
-            out.catalog.put(Table(df=df, **t))
+        out.load(path)
         return out
 
+    def load(self, path: str) -> None:
+        """Put the tables of the last version in ``path`` into the catalog; none of them may be there."""
+        versions = _versions(self.spark, path)
+        if not versions:
+            raise QueryError(f"no database in {path}")
+        found = [json.loads(row[0]) for row in self.spark.read.text(f"{path}/catalog/{max(versions)}").collect()]
+        for t in found:
+            self._new(t["name"], False)
+        for t in found:
+            df = self.spark.read.schema(T.StructType.fromJson(t.pop("schema"))).parquet(f"{path}/tables/{max(versions)}/{t['name']}")
+            self.catalog.put(Table(df=df, **t))
+
     def apply_delta(self, batch) -> dict:
         """Apply a batch of upserts and deletes; see ``streaming.delta``."""
         from .streaming.delta import apply
@@ -317,6 +333,22 @@ class QueryResult:
         return self.num_rows
 
 
+class Database:
+    """A graph that is kept in a folder, or in memory only where none is named; connections share it."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.path = path
+        self.session = GraphSession.open(spark, path) if path and _versions(spark, path) else GraphSession(spark)
+
+    def connect(self) -> Connection:
+        return Connection(self.session)
+
+    def save(self) -> None:
+        if not self.path:
+            raise QueryError("a database in memory has no folder")
+        self.session.save(self.path)
+
+
 class Connection:
     """``query`` for results, ``execute`` for statements whose result doesn't matter; many share one session."""
 
@@ -332,3 +364,7 @@ class Connection:
     def to_arrow(self, text: str, params: dict | None = None):
         """The result as an Arrow table."""
         return self.session.execute(text, params).toArrow()
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(n) for n in child_folders(spark, f"{path}/catalog") if n.isdigit()]

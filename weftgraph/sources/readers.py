@@ -15,6 +15,8 @@ def _ending(path: str) -> str:
 
 def read(spark: SparkSession, path: str, schema: T.StructType, options: dict | None = None) -> DataFrame:
     """Rows of a file for a table of ``schema``: columns go by position, missing ones at the end are NULL."""
+    if path.startswith("kafka://"):
+        return kafka_rows(spark, path, schema)
     kind = _ending(path)
     if kind == "parquet":
         return _placed(spark.read.parquet(path), schema)
@@ -76,15 +78,29 @@ def json_stream(stream: DataFrame, schema: T.StructType, value: str = "value") -
     return stream.filter(F.col(value).isNotNull()).select(F.from_json(F.col(value).cast("string"), schema).alias("r")).select("r.*")
 
 
-def kafka(spark: SparkSession, url: str) -> DataFrame:
-    """``kafka://brokers/topic?group_id=g`` as a stream (needs Spark's connector on the class path)."""
+def kafka_options(url: str) -> dict[str, str]:
+    """Spark's options for ``kafka://brokers/topic?group_id=g``."""
     from urllib.parse import parse_qs, urlparse
 
     u = urlparse(url)
     options = {"kafka.bootstrap.servers": u.netloc, "subscribe": u.path.strip("/"), "startingOffsets": "earliest"}
     if group := parse_qs(u.query).get("group_id"):
         options["kafka.group.id"] = group[0]
-    return spark.readStream.format("kafka").options(**options).load()
+    return options
+
+
+def kafka(spark: SparkSession, url: str) -> DataFrame:
+    """A topic as a stream (needs Spark's connector on the class path)."""
+    return spark.readStream.format("kafka").options(**kafka_options(url)).load()
+
+
+#: Messages that one COPY from a topic takes; a stream takes all.
+KAFKA_MESSAGES = 10_000
+
+
+def kafka_rows(spark: SparkSession, url: str, schema: T.StructType) -> DataFrame:
+    """The first ``KAFKA_MESSAGES`` messages that a topic holds now, as rows; does not wait for more."""
+    return json_stream(spark.read.format("kafka").options(**kafka_options(url), endingOffsets="latest").load().limit(KAFKA_MESSAGES), schema)
 
 
 def write(df: DataFrame, path: str, options: dict | None = None) -> None:

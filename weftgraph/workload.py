@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .operators import algo, fts, vector
 from .operators.paths import reachable, shortest_paths
 from .runtime import shared_dir
-from .session import GraphSession
+from .session import Database, GraphSession
 from .sources import rdf, readers
 from .streaming.delta import DeltaBatch, merge, stream_into
 
@@ -382,6 +382,19 @@ def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.execute("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r")
 
 
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, g = _scratch(spark, "db"), GraphSession(spark)
+    g.catalog.put(graph(spark, sf_dir).catalog.need("Region"))
+    g.execute(f"EXPORT DATABASE '{path}'")
+    db = Database(spark, path)
+    db.connect().execute("MATCH (r:Region) WHERE r.r_name > 'B' SET r.r_name = 'later'")
+    db.save()  # a second version, of tables that come from the first
+    again = GraphSession(spark)
+    again.execute(f"IMPORT DATABASE '{path}'")
+    return again.execute("MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS n")
+
+
+add("export_import", _exported, "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_name > 'B' THEN 'later' ELSE r_name END AS n FROM region")
 add("save_open", _saved, "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
 
 
@@ -499,6 +512,15 @@ def _vector_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.execute("CALL vector.search('1,0,0', 3) YIELD id AS id, distance AS distance")
 
 
+add(
+    "fts_must",
+    lambda s, d: fts.bm25(s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("content")), "+stupid -clown", 10).select("doc_id", F.round("score", 6).alias("score")),
+    """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '' AND strlen(w) <= 40) AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'clown')) AS a, len(list_filter(w, lambda x: x = 'stupid')) AS b FROM t),
+s AS (SELECT count(*) AS n, avg(n) AS avg, count(*) FILTER (b > 0) AS db FROM f)
+SELECT doc_id, round(ln(1 + (s.n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * f.n / avg)), 6) AS score
+FROM f, s WHERE a = 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 10""",
+)
 add("fts_call", _searched, _sql["fts_bm25"])
 add("vector_call", _vector_call, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS DOUBLE)), (1, 2), (3, 2)) v(id, distance)")
 
