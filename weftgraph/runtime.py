@@ -12,12 +12,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _done: set[str] = set()
+#: Python workers live through many tasks: what a slice needed goes back to the system when it is freed.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers find this package where their PYTHONPATH doesn't name it: by the
     path in local mode, by a shipped archive on a cluster. Once for each application."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    for name, value in WORKER_MEMORY.items():
+        sc.environment.setdefault(name, value)
     if sc.applicationId in _done or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _done.add(sc.applicationId)
