@@ -17,7 +17,12 @@ from .. import runtime
 #: follows the slice and not the Arrow batch.
 SLICE_BYTES = 4 << 20
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored, the job's shuffle files go with it (and not when the driver next collects garbage), and small
+#: shuffles are read in partitions of the advised size, so that a small table is few files.
+STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: Where the shared folder is a mounted one, Hadoop starts a process for the mode of each folder, file and file of checksums; stored
+#: tables do without the last. Other kinds of file systems don't read these options.
+UNSUMMED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -40,12 +45,14 @@ def stored(df: DataFrame) -> DataFrame:
     losing an executor loses nothing. The table is deleted when Python exits, or by ``drop_stored``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # the job's shuffle files go with it, and not when the driver next collects garbage
+    before = {k: spark.conf.get(k, None) for k in STORING}
+    for k, v in STORING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**UNSUMMED).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
