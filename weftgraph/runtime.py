@@ -16,6 +16,11 @@ _done: set[str] = set()
 WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Where the shared folder is a mounted one, Hadoop starts a process for the mode of each folder, file and file of checksums; tables
+#: that are stored on the way do without the last. Other kinds of file systems don't read these options.
+UNSUMMED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers find this package where their PYTHONPATH doesn't name it: by the
     path in local mode, by a shipped archive on a cluster. Once for each application."""
@@ -47,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**UNSUMMED).parquet(path)
     _written.append((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weft_path = path
