@@ -20,9 +20,6 @@ SLICE_BYTES = 4 << 20
 #: While a table is stored, the job's shuffle files go with it (and not when the driver next collects garbage), and small
 #: shuffles are read in partitions of the advised size, so that a small table is few files.
 STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
-#: Where the shared folder is a mounted one, Hadoop starts a process for the mode of each folder, file and file of checksums; stored
-#: tables do without the last. Other kinds of file systems don't read these options.
-UNSUMMED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -49,7 +46,7 @@ def stored(df: DataFrame) -> DataFrame:
     for k, v in STORING.items():
         spark.conf.set(k, v)
     try:
-        df.write.options(**UNSUMMED).parquet(path)
+        df.write.options(**runtime.UNSUMMED).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
