@@ -141,6 +141,29 @@ def test_shell(g):
     assert "node Person (name STRING, age INT64)" in said and "KNOWS: 5 rows" in said and "1" not in said
 
 
+def test_flight(g):
+    from pyarrow import flight
+
+    from weftgraph.flight import GraphServer
+
+    with GraphServer(g) as server, flight.connect(f"grpc://127.0.0.1:{server.port}") as client:
+        get = lambda q: client.do_get(flight.Ticket(q.encode())).read_all()
+        got = get("MATCH (p:Person) WHERE p.age > 0 RETURN p.name AS n, p.age AS a, [p.age, 1] AS l ORDER BY a DESC LIMIT 3")
+        assert got.to_pydict() == {"n": ["Carol", "Alice", "Dave"], "a": [35, 30, 28], "l": [[35, 1], [30, 1], [28, 1]]}
+        none = get("MATCH (p:Person) WHERE p.age > 99 RETURN p.name AS n, p.age AS a")
+        assert none.num_rows == 0 and none.schema.types == [pa.string(), pa.int64()]
+        assert get("CREATE NODE TABLE Pet(name STRING, PRIMARY KEY(name))").to_pydict() == {"ok": [True]}
+        assert [r.body.to_pybytes() for r in client.do_action(flight.Action("query", b"CREATE (:Pet {name: 'Rex'})"))] == [b"OK"]
+        assert get("MATCH (p:Pet) RETURN p.name AS n").to_pydict() == {"n": ["Rex"]}
+        assert get("UNWIND range(1, 30000) AS x RETURN x").num_rows == 30000
+        assert [a.type for a in client.list_actions()] == ["query"]
+        for ask in (lambda: get("MATCH (x:Nope) RETURN x"), lambda: get("RETURN ("), lambda: list(client.do_action(flight.Action("other", b"")))):
+            with pytest.raises(pa.ArrowInvalid):
+                ask()
+        with pytest.raises(NotImplementedError):
+            list(client.list_flights())
+
+
 def test_errors(g):
     for q in ("MATCH (x:Nope) RETURN x", "MATCH (p:Person) RETURN p.nope", "RETURN y", "RETURN nofunc(1)", "MATCH (p:Person) WHERE p.name = $missing RETURN p", "CALL nope.proc()", "RETURN 1 AS a UNION RETURN 2 AS b"):
         with pytest.raises((QueryError, ValueError)):

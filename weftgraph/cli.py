@@ -1,4 +1,4 @@
-"""A prompt for statements: ``python -m weftgraph.cli [FOLDER]``."""
+"""A prompt for statements: ``python -m weftgraph.cli [FOLDER]``; with ``--flight HOST:PORT`` an Arrow Flight server instead."""
 
 from __future__ import annotations
 
@@ -94,18 +94,30 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.getOrCreate()
-    path = sys.argv[1] if len(sys.argv) > 1 else None
+    args = sys.argv[1:]
+    address = args.pop(args.index("--flight") + 1) if "--flight" in args[:-1] else None
+    args = [a for a in args if a != "--flight"]
+    path = args[0] if args else None
     db = Database(spark, path)
-    shell = Shell(db.session)
+    if address:
+        from .flight import GraphServer
 
-    def lines():
-        while True:
+        with GraphServer(db.session, f"grpc://{address}") as server:
             try:
-                yield input("... " if shell.pending else "> ")
-            except EOFError:
-                return
+                server.serve()
+            except KeyboardInterrupt:  # the way to end it
+                pass
+    else:
+        shell = Shell(db.session)
+
+        def lines():
+            while True:
+                try:
+                    yield input("... " if shell.pending else "> ")
+                except EOFError:
+                    return
 
-    shell.run(lines())
+        shell.run(lines())
     if path:
         db.save()
 

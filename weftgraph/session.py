@@ -115,6 +115,11 @@ class GraphSession:
 
     query = execute
 
+    def perform(self, text: str, params: dict | None = None, env: dict[str, str] | None = None) -> DataFrame | None:
+        """Like ``execute``, with None where a statement has no result."""
+        done = self._statement(parse(text), params or {}, {**self.env, **(env or {})})
+        return done if isinstance(done, DataFrame) else None
+
     def call(self, name: str, *args, **named) -> DataFrame:
         """Run a procedure: ``call("algo.pageRank", 0.85, 20, 1e-6, rel="KNOWS")``."""
         fn = next((f for k, f in self.procedures.items() if k.lower() == name.lower()), None)
