@@ -210,7 +210,8 @@ def _pieces(blobs: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes, of every row of ``docs`` (doc_id, text).
 
-    With ``carry`` each row also has these columns of its, as struct ``row``.
+    With ``carry`` each row has these columns of its, as struct ``row``, and instead of ``kept`` the remaining text, ``rest``: characters
+    of which bytes go are left out of it, null stays null.
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a row with a
     smaller doc_id, or earlier in its own. Null text counts as empty. Null doc_id counts as the smallest.
@@ -385,25 +386,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         import pyarrow as pa
 
         for batch in batches:
-            blobs, lists = utf8(batch.column(2)), batch.column(3)
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
+            column, lists = batch.column(2), batch.column(3)
+            blobs = utf8(column)
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", left)}
             for i, blob in enumerate(blobs):
                 spans = repeated_spans(len(blob), lists[i].values, length) if lists[i].is_valid else []
+                removed = sum(b - a for a, b in spans)
+                if carry:
+                    spans = [whole_characters(blob, a, b) for a, b in spans]
                 kept, last = [], 0
                 for a, b in spans:
                     kept.append(blob[last:a])
                     last = b
-                kept = b"".join([*kept, blob[last:]])
-                for k, v in zip(out, (len(blob), len(blob) - len(kept), len(spans), kept)):
+                kept = b"".join([*kept, blob[last:]]) if column[i].is_valid or not carry else None
+                for k, v in zip(out, (len(blob), removed, len(spans), kept)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "row": batch.column(1), **{k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()}})
+            numbers = {k: pa.array(v, pa.int64()) for k, v in out.items() if k != left}
+            blob = pa.array(out[left], pa.binary())
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "row": batch.column(1), **numbers, left: blob.view(pa.string()) if carry else blob})
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", own.schema["row"].dataType), *[T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
+    left = "rest" if carry else "kept"
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", own.schema["row"].dataType), *[T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")], T.StructField(left, T.StringType() if carry else T.BinaryType())])
     done = texts.join(marks, ["id", "sub"], "left").select("id", "row", "text", "marks").mapInArrow(cut, schema)
-    out = done.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "row")
+    out = done.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", left, "row")
     return out if carry else out.drop("row")
 
 
+def whole_characters(blob: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span a to b of UTF-8 bytes, widened to whole characters."""
+    while a and blob[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(blob) and blob[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
 def repeated_spans(n: int, marks, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal covered byte spans of a text of n bytes from its marks (Arrow structs at, size, kind).
 
@@ -430,13 +447,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character whose bytes go in part goes as a whole. Rows of which nothing but white space is left
     after a cut are dropped; rows that lose nothing stay as they are. All columns stay, in their order.
     """
-    carry = [c for c in docs.columns]
-    out = remove_repeats(docs, length, carry=carry)
-    # what is left of a cut character are continuation bytes or a lead without them
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    cut = out.withColumn("cut", F.when(F.col("n_removed") > 0, text)).filter(F.col("cut").isNull() | F.col("cut").rlike(r"\S"))
-    new = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut")).cast("long")} if "n_chars" in carry else {"text": F.coalesce("cut", "row.text")}
-    return cut.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in carry])
+    out = remove_repeats(docs, length, carry=[c for c in docs.columns if c != "text"])
+    cut = F.col("n_removed") > 0
+    out = out.filter(~cut | F.col("rest").rlike(r"\S"))
+    new = {"text": F.col("rest")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.char_length("rest")).otherwise(F.col("row.n_chars")).cast("long")
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
