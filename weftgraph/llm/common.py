@@ -56,6 +56,17 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator], Iterator]) -> DataFrame:
+    """``mapInArrow`` to rows of the same columns, by place: Spark's own looks columns up by name and fails on one with a dot."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(fn, plain.schema).toDF(*df.columns)
+
+
 def written() -> int:
     """A mark for ``drop_since``."""
     return len(_written)

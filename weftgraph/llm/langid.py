@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix64, slices, stored
+from .common import drop_stored, map_rows, mix64, slices, stored
 
 N, SLOT_BITS, HASHES = 4, 18, 2
 #: Characters that are hashed at a time.
@@ -238,4 +238,4 @@ def keep_identified(docs: DataFrame, least_coverage: float = 0.05, **options) ->
                 good.append(a + np.flatnonzero((np.asarray(names) != "und") & (cover >= least_coverage)))
             yield batch.take(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LONG, Words, mix64, slices, stored, utf8, word_hashes
+from .common import LONG, Words, mix64, quoted, slices, stored, utf8, word_hashes
 from .components import components
 
 SHINGLE, PERMS, ROWS = 5, 72, 6
@@ -199,4 +199,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, per
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` but for those whose component has a smaller doc_id; all columns stay."""
     gone = near_duplicates(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

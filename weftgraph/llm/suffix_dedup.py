@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, _INVERSE, drop_stored, mix64, parts, powers, slices, stored, utf8
+from .common import _BYTE, _INVERSE, drop_stored, mix64, parts, quoted, powers, slices, stored, utf8
 
 LENGTH, ANCHOR = 100, 36
 _OTHER = mix64(np.arange(7001, 7257, dtype=np.uint64))
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Rows that agree in doc_id and text are one document; rows that repeat a doc_id with other texts
     are documents in the order of a text hash. Texts under ``length`` bytes lose nothing. An empty table gives no rows.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(0)
+    row = F.struct(*map(quoted, carry)) if carry else F.lit(0)
     twice = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
     # no literal: Spark would take a constant out of the keys, and then the exchange would not serve the join
     sub = F.xxhash64(F.coalesce("text", F.lit(""))) if twice else F.xxhash64("doc_id").bitwiseAND(F.lit(0))
