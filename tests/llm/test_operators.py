@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -186,6 +187,43 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, lab.limit(0)).collect() == []
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 24000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(CASE WHEN id % 2 = 0 THEN 'idiot ' ELSE 'clear ' END, CASE WHEN id % 11 = 0 THEN 'sky' ELSE 'sea' END) AS text")
+    model = toxicity.learn(docs, spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 = 0 AS INT) AS toxic"))
+    train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bad = sum(i % 2 == 0 for i in train)
+    assert min(bad, len(train) - bad) > 7000
+    assert (model.chars.tri["^^i"], model.chars.tri["^^c"], model.chars.tri["sky"]) == (bad, len(train) - bad, sum(i % 11 == 0 for i in train))
+    assert model.weights["idiot"] == pytest.approx(np.log((bad + 0.5) / (bad + 1)) - np.log(0.5 / (len(train) - bad + 1)))
+
+
+def test_toxicity_counts_match_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 50)  # several parts
+    rows = [(words(20, i) + " a s t u p i d f00l yesss", i % 3 == 0) for i in range(40)]
+    tri, want = collections.Counter(), {}
+    for t, _ in rows:
+        for w in {x.strip(toxicity.EDGE + "!") for x in t.split()}:
+            if w.isalpha() and "sss" not in w:
+                tri.update(f"^^{w}$"[k : k + 3] for k in range(len(w) + 1))
+    got = collections.Counter()
+    for part in toxicity.count_trigrams(t for t, _ in rows):
+        got.update(part)
+    assert got == tri
+    r = toxicity.Restorer(toxicity.CharModel(dict(tri)))
+    for t, bad in rows:
+        stream = collections.Counter(f for w in set().union(*r.words(t)) for f in [w, *([w[:2] + "**"] if len(w) > 1 else []), *[w[:k] + "*" for k in range(3, 8) if len(w) > k]])
+        for f, k in stream.items():
+            x = want.setdefault(f, [0, 0, 0])
+            x[0] += bad
+            x[1] += not bad
+            x[2] += 0 if bad else k
+    parts, have = list(toxicity.count_features(rows, r)), {}
+    for f, *x in (y for part in parts for y in part):
+        have[f] = [a + b for a, b in zip(have.get(f, (0, 0, 0)), x)]
+    assert len(parts) > 2 and have == want
+
+
 def test_toxicity_reads_spaced_and_long_runs():
     counts = collections.Counter()
     for i in range(40):
