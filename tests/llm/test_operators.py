@@ -394,6 +394,41 @@ def test_decontamination_recall_and_odd_columns(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id < 200").count() == 201 and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_decontamination_fits_all_documents(spark, monkeypatch):
+    # the space has all passages in it: among 1,500 documents one word pair that only a few have is a direction of its own
+    texts = [words(40, i) for i in range(60)]
+    rows = [(i, texts[i % 60]) for i in range(1500)] + [(5000, words(64, 900))]
+    docs = spark.createDataFrame([*rows, (5001, None), (5002, " ")], "doc_id long, text string")
+    items = [(0, words(40, 901))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    monkeypatch.setattr(decontam, "latent_space", lambda sample, idf, real=decontam.latent_space: seen.append(sample.count()) or real(sample, idf))
+    next(iter(decontam.matchers(docs, bench)))
+    assert seen == [1504]
+
+
+def test_latent_space_matches_dense_svd(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "FIT", 700)  # many slices
+    monkeypatch.setattr(decontam, "COMMON", 20)  # both ways to multiply
+    vocabulary = words(60, 3).split()
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(vocabulary, 64)) for _ in range(90)] + ["", None, "  "]
+    idf = 1 + np.random.default_rng(6).random(1 << decontam.TERM_BITS)
+    got = decontam.latent_space(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3), idf, rank=50)
+    w = decontam.Words([x.encode() for x in texts if x and x.strip()])
+    a = np.zeros((180, len(idf)))
+    np.add.at(a, (np.arange(180 * 32) // 32, decontam._terms(w)), 1)
+    a = (a * idf)[:, a.any(0)]
+    n = min(50, a.shape[1])
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    table = got[np.unique(decontam._terms(w))]
+    raw = a / idf[np.unique(decontam._terms(w))]
+    # passages in the space: unit variance a direction, and the same directions as by the dense SVD
+    mine = raw @ table
+    assert abs(mine[:, :n].T @ mine[:, :n] - np.eye(n)).max() < 1e-2
+    assert abs(u[:, :n] @ u[:, :n].T - mine[:, :n] @ mine[:, :n].T).max() < 2e-2
+
+
 def test_long_texts_go_in_pieces(spark, monkeypatch):
     from weftgraph.llm import common
 
