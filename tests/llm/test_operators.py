@@ -164,6 +164,15 @@ def test_language(spark, corpus, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {1000, 2000} and kept.filter("doc_id IN (1, 2)").count() == 0
 
 
+def test_language_learns_from_every_row(spark, monkeypatch):
+    n = 8000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'straße' ELSE 'forêt' END AS text", "CASE WHEN id % 2 = 0 THEN 'de' ELSE 'fr' END AS lang")
+    seen = []
+    monkeypatch.setattr(langid, "most_frequent", lambda counted, k, real=langid.most_frequent: seen.append(counted.groupBy("lang").agg(F.max("n")).orderBy("lang").collect()) or real(counted, k))
+    langid.learn(docs, F.lit(True))
+    assert [tuple(r) for r in seen[0]] == [(0, n // 2), (1, n // 2)]
+
+
 def test_bit_filter_answers_all_languages():
     f = langid.BitFilter([f"l{i:02}" for i in range(70)])
     h = langid.mix64(np.arange(1, 2000, dtype=np.uint64))
@@ -475,6 +484,18 @@ def test_mixing(spark, empty):
     assert mixing.mixed(empty, labels).collect() == []
 
 
+def test_mixing_learns_from_every_labelled_row(spark):
+    n = 15000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'sea idiot' ELSE 'sea sky' END AS text")
+    base, weights = mixing.classifier(docs, spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'toxic' ELSE 'good' END AS domain"), 200)
+    bad, good = n // 3, n - n // 3
+    has = {"idiot": {"good": 0.5 / (good + 1), "poor": 0.5, "toxic": (bad + 0.5) / (bad + 1)}, "sky": {"good": (good + 0.5) / (good + 1), "poor": 0.5, "toxic": 0.5 / (bad + 1)}}
+    assert weights.keys() == has.keys()
+    for t, by in has.items():
+        assert weights[t] == pytest.approx({d: np.log(x) - np.log(1 - x) for d, x in by.items()})
+    assert base["toxic"] == pytest.approx(np.log((bad + 1) / (n + 3)) + sum(np.log(1 - by["toxic"]) for by in has.values()))
+
+
 def test_mixing_matches_plain_least_squares(spark):
     r = np.random.default_rng(8)
     post = r.dirichlet([2, 1, 0.6], 500)
