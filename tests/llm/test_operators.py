@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -438,6 +439,48 @@ def test_latent_space_matches_dense_svd(spark, monkeypatch):
     assert abs(u[:, :n] @ u[:, :n].T - mine[:, :n] @ mine[:, :n].T).max() < 2e-2
 
 
+def test_latent_space_takes_little_time(spark, monkeypatch):
+    """One pass of the fit gives the sums of a plain one, by ``reduceat``, in less than half of its time."""
+    r = np.random.default_rng(8)
+    vocabulary = np.asarray([f"w{i}" for i in range(20_000)])
+    share = 1 / (np.arange(20_000) + 5.0)
+    texts = [" ".join(vocabulary[r.choice(20_000, 33_000, p=share / share.sum())]).encode(), b"w900 " * 40_000 + b"w901", b"w19000"]
+    slices = [decontam.Words(texts[:1]), decontam.Words(texts[1:]), decontam.Words([b"", b" "])]
+    idf = np.full(1 << decontam.TERM_BITS, 12.0)
+    idf[decontam._terms(decontam.Words([" ".join(vocabulary).encode()]))[::-1]] = 2 - np.log(share[::-1])
+    seen: dict = {}
+
+    def plain(w, total, weighted):
+        t = decontam._terms(w)
+        n = np.diff(w.bounds)
+        first = (np.arange(len(t)) - np.repeat(w.bounds[:-1], n)) % 32 == 0
+        y = np.add.reduceat(weighted.take(t, axis=0), np.flatnonzero(first), axis=0)
+        order = np.argsort(t, kind="stable")
+        heads = np.flatnonzero(np.diff(t[order], prepend=-1))
+        total[t[order][heads]] += np.add.reduceat(y.take((np.cumsum(first) - 1)[order], axis=0), heads, axis=0)
+
+    def seconds(run, *args):
+        start = time.thread_time()
+        run(*args)
+        return time.thread_time() - start
+
+    def sum_of(rows, partial, shape):
+        weighted = (np.random.default_rng(7).standard_normal(shape) * idf[:, None]).astype(np.float32)
+        seen["want"], seen["got"] = np.zeros(shape), np.zeros(shape)
+        for w in slices:
+            partial(w, seen["got"])
+            if len(w.hashes):
+                plain(w, seen["want"], weighted.astype(np.float64))
+        scratch = np.ones(shape)
+        seen["ratio"] = min(seconds(partial, slices[0], scratch) for _ in range(5)) / min(seconds(plain, slices[0], scratch, weighted) for _ in range(5))
+        return seen["got"]
+
+    monkeypatch.setattr(decontam, "_sum_of", sum_of)
+    decontam.latent_space(None, idf)
+    assert abs(seen["got"] - seen["want"]).max() < 1e-4 * abs(seen["want"]).max()
+    assert seen["ratio"] < 0.5
+
+
 def test_long_texts_go_in_pieces(spark, monkeypatch):
     from weftgraph.llm import common
 
