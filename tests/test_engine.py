@@ -1,5 +1,7 @@
 """Statements on small graphs."""
 
+import random
+
 import pyarrow as pa
 import pytest
 
@@ -196,6 +198,52 @@ def test_algorithms(spark):
     assert {r[0]: r[1] for r in algo.betweenness(edges((1, 2), (2, 3), (3, 4))).collect()} == {1: 0.0, 2: 2.0, 3: 2.0, 4: 0.0}
 
 
+def brandes(edges):
+    nodes, out = {x for e in edges for x in e}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        order, ways, depth = [s], {s: 1}, {s: 0}
+        for v in order:
+            for w in out.get(v, ()):
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    ways[w] = ways.get(w, 0) + ways[v]
+        depends = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            depends[v] = sum(ways[v] / ways[w] * (1 + depends[w]) for w in out.get(v, ()) if depth[w] == depth[v] + 1)
+            total[v] += depends[v] if v != s else 0
+    return total
+
+
+def test_betweenness_searches_once_for_nodes_with_the_same_edges_out(spark, monkeypatch):
+    frame = lambda e: spark.createDataFrame(e, "_src long, _dst long")
+    # 40 nodes lead to 50 and 51, and these back to two of the 40: 84 edges, but four different ones
+    same = [(a, b) for a in range(40) for b in (50, 51)] + [(b, a) for a in (3, 4) for b in (50, 51)]
+    monkeypatch.setattr(algo, "MAX_BROADCAST_EDGES", 4)
+    got = {r[0]: r[1] for r in algo.betweenness(frame(same)).collect()}
+    assert got.keys() == brandes(same).keys() and all(abs(got[v] - x) < 1e-9 for v, x in brandes(same).items())
+    monkeypatch.setattr(algo, "MAX_BROADCAST_EDGES", 3)
+    with pytest.raises(QueryError):
+        algo.betweenness(frame(same))
+
+
+@pytest.mark.parametrize("at_once", [1, 4_000_000])
+def test_betweenness_of_odd_graphs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(algo, "SEARCHED_AT_ONCE", at_once)
+    rng = random.Random(7)
+    lists = [[rng.randrange(25) for _ in range(n)] for n in (1, 2, 3, 3, 4)]
+    # few different lists of edges out, with loops, parallel edges, nodes that lead nowhere, and some edges of single nodes
+    many = [(a - 9, b - 9) for a in range(25) if a % 6 for b in lists[a % 5]] + [(rng.randrange(25) - 9, rng.randrange(25) - 9) for _ in range(8)]
+    for edges in (many, [(1, 1)], [(1, 1), (1, 2), (1, 2), (2, 3), (1, 4), (4, 3), (3, 1)], [(i, i + 1) for i in range(60)], [(10**15, i) for i in range(5)] + [(i, 10**15) for i in range(5)]):
+        got, want = {r[0]: r[1] for r in algo.betweenness(spark.createDataFrame(edges, "_src long, _dst long")).collect()}, brandes(edges)
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    assert algo.betweenness(spark.createDataFrame([], "_src long, _dst long")).collect() == []
+
+
 def test_search(g):
     for t in ("a heron stands in the reeds", "heron after heron, and one more heron over the long grey lake", "the lake is still", "one grey heron"):
         g.call("fts.add", t)
